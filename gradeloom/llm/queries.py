@@ -34,6 +34,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_sum_of_squares_packing, op8_quality_rules)}
+def op9_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import score_quality, train
+    from .toxicity import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, learn, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"), "toxic_clauses")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_sum_of_squares_packing, op8_quality_rules, op9_nb_svm_quality, op10_toxicity_grammar)}
 
 ORACLE_SQL: dict[str, str] = {}
