@@ -16,6 +16,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+# Target shares of the four languages' tokens, and the names of the shards.
+LANGUAGE_TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
+
+def op2_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_to_targets
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    mixed, _ = mix_to_targets(docs.drop("lang"), docs.select("doc_id", F.col("lang").alias("domain")), LANGUAGE_TARGETS)
+    posterior = [F.round(F.get("mix_posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(LANGUAGE_TARGETS)]
+    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posterior, F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"))
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +39,31 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_lookup_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.col("license_score").alias("score"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_quality_rules
 
@@ -51,6 +90,6 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"), "toxic_clauses")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_sum_of_squares_packing, op8_quality_rules, op9_nb_svm_quality, op10_toxicity_grammar)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_soft_membership_mixing, op3_sum_of_squares_packing, op4_lookup_table_sharding, op5_nn_descent, op6_license_scan, op7_url_rules, op8_quality_rules, op9_nb_svm_quality, op10_toxicity_grammar)}
 
 ORACLE_SQL: dict[str, str] = {}
