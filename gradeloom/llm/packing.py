@@ -8,8 +8,7 @@ left over is cut at powers of two, where a sequence needs no padding.
 
 from __future__ import annotations
 
-import os
-import re
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +21,46 @@ from ._shared import small_batches
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class UnitTokenizer:
-    """Token ids of whole texts, remembering those of space-separated stretches.
+# Fixed value: the public pre-tokenisation pattern of the byte-level vocabulary.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    The vocabulary's pattern always ends a piece before a single space between two non-spaces, so stretches can be
-    encoded apart; texts where a space stands between other white space or ends one are encoded whole. At most twice `memory`
-    stretches are remembered.
+
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Bytes and ids of a byte-level vocabulary file; its merges must be in the order of the ids they make."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made):
+        raise ValueError("the vocabulary's ids don't follow its merges")
+    return {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if len(token) == 1 or made[0] <= i <= made[-1]}
+
+
+class TextTokenizer:
+    """Token ids of whole texts: those that the vocabulary file gives in its own library, special tokens read as plain text.
+
+    The merges run in a byte-pair engine several times as fast as that library's, from the same file; tests compare the two.
     """
 
-    _irregular = re.compile(r"\s \s|\s \Z|\A \s|\s\s\Z")
-
-    def __init__(self, path: str, memory: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._memory, self._new, self._old = memory, {}, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers."""
-        split = [None if self._irregular.search(t) else t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for parts in split:
-            if parts is not None:
-                wanted.update(parts[1:])
-        wanted.difference_update(self._new)
-        missing = []
-        for w in wanted:
-            known = self._old.get(w)
-            if known is None:
-                missing.append(w)
-            else:
-                self._new[w] = known
-        self._new.update(zip(missing, self._encode([" " + w for w in missing]), strict=True))
-        whole = iter(self._encode([t if p is None else p[0] for t, p in zip(texts, split, strict=True)]))
-        get = self._new.__getitem__
-        out = [b"".join([next(whole), *map(get, p[1:])]) if p is not None else next(whole) for p in split]
-        if len(self._new) > self._memory:
-            self._old, self._new = self._new, {}
-        return out
+    def __init__(self, path: str):
+        import tiktoken
+
+        self._engine = tiktoken.Encoding("vocabulary", pat_str=PIECE, mergeable_ranks=byte_ranks(path), special_tokens={})
 
+    def __call__(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        return self._engine.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
-_tokenizers: dict[str, UnitTokenizer] = {}
 
+_tokenizers: dict[str, TextTokenizer] = {}
 
-def unit_tokenizer(path: str) -> UnitTokenizer:
+
+def text_tokenizer(path: str) -> TextTokenizer:
     """One tokenizer for each path and worker process."""
     if path not in _tokenizers:
-        _tokenizers[path] = UnitTokenizer(path)
+        _tokenizers[path] = TextTokenizer(path)
     return _tokenizers[path]
 
 
@@ -142,27 +129,29 @@ class LevelPacker:
         self.windows = [[] for _ in range(self.size)]
         self.count[:] = 0
         self.open = 0
-        left = sum(len(p[2]) // 4 for p in held)
-        out, window, room = [], [], self._room(left)
-        for doc, start, ids, total in held:
+        total = sum(len(p[2]) // 4 for p in held)
+        rooms = [self.size] * (total // self.size)
+        rest = total % self.size
+        if last:
+            rooms += [1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1]
+        elif rest:
+            rooms.append(rest)
+        out, window, at = [], [], 0
+        room = rooms[0] if rooms else 0
+        for doc, start, ids, length in held:
             while ids:
-                if not last and left < self.size:
-                    window.append((doc, start, ids, total))
-                    break
                 cut = ids[: room * 4]
-                window.append((doc, start, cut, total))
-                start, ids = start + len(cut) // 4, ids[len(cut) :]
-                room, left = room - len(cut) // 4, left - len(cut) // 4
+                window.append((doc, start, cut, length))
+                start, ids, room = start + len(cut) // 4, ids[len(cut) :], room - len(cut) // 4
                 if not room:
-                    out += self._finish(window)
-                    window, room = [], self._room(left)
-        if window:
-            self._keep(sum(len(p[2]) // 4 for p in window), window)
+                    if rooms[at] == self.size or last:
+                        out += self._finish(window)
+                    else:
+                        self._keep(rest, window)
+                    window, at = [], at + 1
+                    room = rooms[at] if at < len(rooms) else 0
         return out
 
-    def _room(self, left: int) -> int:
-        return self.size if left >= self.size else 1 << (left.bit_length() - 1) if left else self.size
-
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", max_open: int = 512) -> DataFrame:
     """One row per piece: id_col, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
@@ -183,16 +172,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None =
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
 
     def work(batches):
-        encode = unit_tokenizer(tokenizer)
+        encode = text_tokenizer(tokenizer)
         packer = LevelPacker(size, TaskContext.get().partitionId() << 36, max_open)
         done, held = [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                names, texts = batch.column(0).slice(i, 64).to_pylist(), batch.column(1).slice(i, 64).to_pylist()
-                for doc, ids in zip(names, encode([t or "" for t in texts]), strict=True):
-                    new = packer.put(doc, ids + end)
-                    done += new
-                    held += sum(len(x[2]) for x in new)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = packer.put(doc, encode(text or "") + end)
+                done += new
+                held += sum(len(x[2]) for x in new)
                 if held > 4 << 20:
                     yield table(done)
                     done, held = [], 0
