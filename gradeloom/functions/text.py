@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Letters, and replacements made while normalising, in order.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -39,18 +40,23 @@ GT_LABEL = r"[()\[\].:;\s\*]"
 SEPARATOR = r"(?i)[,;/&\s]+|\band\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode NFKC; null stays null."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def nfkc_each(values: pd.Series) -> pd.Series:
     """nfkc of each element."""
     return values.map(lambda row: row if row is None else [v if v is None else unicodedata.normalize("NFKC", v) for v in row])
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -83,6 +89,10 @@ def to_text(values: Column) -> Column:
 
 def boxed(c: Column) -> Column:
     r"""What the first \boxed{ holds, braces balanced; the whole text if there is none or it never closes."""
+    return let(c, _boxed)
+
+
+def _boxed(c: Column) -> Column:
     marker = "\\boxed{"
     tail = F.split(F.substring(c, F.instr(c, marker) + len(marker), F.length(c)), "")
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
@@ -91,8 +101,8 @@ def boxed(c: Column) -> Column:
         depth = F.when(s["depth"] == 0, 0).when(ch == "{", s["depth"] + 1).when(ch == "}", s["depth"] - 1).otherwise(s["depth"])
         return F.struct(depth.alias("depth"), F.when((s["depth"] == 0) | (depth == 0), s["out"]).otherwise(F.concat(s["out"], ch)).alias("out"))
 
-    found = F.aggregate(tail, start, step)
-    return F.when((F.instr(c, marker) > 0) & (found["depth"] == 0), strip(found["out"])).otherwise(c)
+    closed = lambda found: F.when(found["depth"] == 0, strip(found["out"])).otherwise(c)
+    return F.when(F.instr(c, marker) > 0, let(F.aggregate(tail, start, step), closed)).otherwise(c)
 
 
 def normalize_text(c: Column, lower: bool = False, extract_boxed: bool = True, strip_latex: bool = True, unicode: bool = True) -> Column:
@@ -204,13 +214,19 @@ def gt_letters(gt: Column, is_list: Column) -> Column:
 
 def parse_number_text(t: Column) -> Column:
     """A number that makes up all of an open-normalised text; a closing % divides by 100; null otherwise."""
-    t = F.replace(t, F.lit(","), F.lit(""))
-    percent = F.endswith(t, F.lit("%"))
-    t = F.when(percent, strip(F.regexp_replace(t, "%+$", ""))).otherwise(t)
+
+    def whole(text: Column) -> Column:
+        percent = F.endswith(text, F.lit("%"))
+        number = let(strip(F.regexp_replace(text, "%+$", "")), _plain_number)
+        return F.when(percent, number / 100.0).otherwise(let(text, _plain_number))
+
+    return let(F.replace(t, F.lit(","), F.lit("")), whole)
+
+
+def _plain_number(t: Column) -> Column:
     plain = t.rlike(r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$")
     named = F.when(t.rlike("(?i)^[+-]?nan$"), F.lit(float("nan"))).when(t.rlike(r"(?i)^\+?inf(inity)?$"), F.lit(float("inf"))).when(t.rlike("(?i)^-inf(inity)?$"), F.lit(float("-inf")))
-    number = F.when(plain, F.replace(t, F.lit("_"), F.lit("")).try_cast("double")).otherwise(named)
-    return F.when(percent, number / 100.0).otherwise(number)
+    return F.when(plain, F.replace(t, F.lit("_"), F.lit("")).try_cast("double")).otherwise(named)
 
 
 def parse_number(c: Column, unicode: bool = True) -> Column:
@@ -402,7 +418,7 @@ def choice_index(answer: Column, options: Column, digits: bool = False, default:
     return F.coalesce(F.when(letter > 0, letter - 1), F.when(F.array_contains(held, True), F.array_position(held, True).cast("int") - 1), F.lit(default))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def longest_repeat(values: pd.Series) -> pd.Series:
     """The longest substring that occurs twice without overlap; the first of equals; empty without one."""
 

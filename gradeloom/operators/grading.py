@@ -170,7 +170,8 @@ def judge_verdict(reply: Column) -> Column:
     t = T.strip(F.coalesce(reply, F.lit("")))
 
     def of(text: Column) -> Column:
-        v = F.try_parse_json(text)
+        listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # a list, so that nothing may follow the object
+        v = F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
         value = F.lower(F.try_variant_get(v, "$.is_correct", "string"))
         right = F.coalesce((value == "true") | (F.regexp_extract(value, r"^([+-]?\d+)(?:\.\d*)?$", 1).try_cast("int") == 1), F.lit(False))
         told = F.struct(right.cast("int").alias("is_correct"), F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")).alias("reason"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "score_numeric_exact"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "grade_mixed_sheet"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OPTION = "struct<letter:string,text:string>"
-MESSAGE = T.StructType.fromDDL(
-    f"role string, question string, answer array<string>, options array<{OPTION}>, choices array<string>, hint string, prompt string, response array<string>, extra map<string,string>"
-)
+TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
+OPTION = T.StructType([T.StructField("letter", TEXT), T.StructField("text", TEXT)])
+MESSAGE = T.StructType(
+    [
+        T.StructField("role", TEXT), T.StructField("question", TEXT), T.StructField("answer", TEXTS), T.StructField("options", T.ArrayType(OPTION)), T.StructField("choices", TEXTS),
+        T.StructField("hint", TEXT), T.StructField("prompt", TEXT), T.StructField("response", TEXTS), T.StructField("extra", T.MapType(TEXT, TEXT)),
+    ]
+)
 SAMPLE = T.StructType(
     [
         T.StructField("eval_id", T.LongType()),
@@ -24,9 +28,12 @@ SAMPLE = T.StructType(
     ]
 )
 STAGE = "struct<outcome:string,score:double,matched:string,reason:string,judge_prob:double>"
-SCORED = T.StructType.fromDDL(
-    "eval_id string, question_type string, gt array<string>, pred array<string>, decided_by string, matched string, score double, is_correct int, status string, reason string, judge_prob double"
-)
+SCORED = T.StructType(
+    [
+        T.StructField("eval_id", TEXT), T.StructField("question_type", TEXT), T.StructField("gt", TEXTS), T.StructField("pred", TEXTS), T.StructField("decided_by", TEXT), T.StructField("matched", TEXT),
+        T.StructField("score", T.DoubleType()), T.StructField("is_correct", T.IntegerType()), T.StructField("status", TEXT), T.StructField("reason", TEXT), T.StructField("judge_prob", T.DoubleType()),
+    ]
+)
 
 
 def first_message(name: str) -> Column:
