@@ -89,8 +89,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = DEFAULT_RULES, url_
 
     fits = words.join(small(index), "token").where(F.expr("regexp(__told, pattern)"))
     best = fits.groupBy("__url").agg(
-        F.max_by(F.struct("name", "verdict"), F.struct("rank", F.expr("-hash(name)"))).alias("any"),
-        F.max_by("name", F.when(F.col("listed"), F.col("rank"))).alias("rule"),
+        F.min_by(F.struct("name", "verdict"), F.struct(-F.col("rank"), "name")).alias("any"),
+        F.min_by("name", F.when(F.col("listed"), F.struct(-F.col("rank"), "name"))).alias("rule"),
     )
     judged = urls.select("__url", "host", "path").join(best, "__url", "left")
     judged = judged.select(F.col("__url"), "host", "path", "rule", F.coalesce("any.verdict", F.lit(default)).alias("verdict"), F.col("any.name").alias("pattern_rule"))
