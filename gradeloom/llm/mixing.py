@@ -122,8 +122,8 @@ def fit_rates(scored: DataFrame, targets: Mapping[str, float], cover: bool = Fal
     return Mix(domains, before, now, wanted, steps)
 
 
-def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", cover: bool = False, least: float = 0.0, max_rows: int = 4000) -> tuple[DataFrame, Mix]:
-    """`docs` with mix_tokens, mix_posterior, mix_rate and mix_copies, and the fit.
+def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", cover: bool = False, least: float = 0.0, max_rows: int = 4000, carry: list[str] | None = None) -> tuple[DataFrame, Mix]:
+    """The columns `carry` of `docs`, all unless named, with mix_tokens, mix_posterior, mix_rate and mix_copies, and the fit.
 
     `labelled` has id_col and domain. mix_rate is the expected number of copies of a row; mix_copies is its whole part, and one
     more with the probability of the rest by a hash of id and text, so that equal rows get equal copies. A null, empty or blank
@@ -134,8 +134,10 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
     base = docs.drop("mix_tokens", "mix_posterior", "mix_rate", "mix_copies")
     model = fit_domains(base, labelled, domains, id_col, text_col, max_rows)
     scored = with_posteriors(base, model, domains, text_col)
-    small = Scratch(docs.sparkSession, "mixing").keep(scored.select("mix_tokens", "mix_posterior"), "posteriors")
-    fit = fit_rates(small, targets, cover, least)
     even = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    out = scored.withColumn("mix_rate", _rate(fit.steps, least))
-    return out.withColumn("mix_copies", (F.floor("mix_rate") + (even < F.col("mix_rate") - F.floor("mix_rate")).cast("int")).cast("long")), fit
+    wanted = base.columns if carry is None else carry
+    kept = Scratch(docs.sparkSession, "mixing").keep(scored.select(*wanted, "mix_tokens", "mix_posterior", even.alias("__even")), "scored")  # words are looked up once
+    fit = fit_rates(kept, targets, cover, least)
+    out = kept.withColumn("mix_rate", _rate(fit.steps, least))
+    copies = (F.floor("mix_rate") + (F.col("__even") < F.col("mix_rate") - F.floor("mix_rate")).cast("int")).cast("long")
+    return out.withColumn("mix_copies", copies).drop("__even"), fit

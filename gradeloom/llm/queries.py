@@ -25,7 +25,7 @@ def op2_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_to_targets
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    mixed, _ = mix_to_targets(docs.drop("lang"), docs.select("doc_id", F.col("lang").alias("domain")), LANGUAGE_TARGETS)
+    mixed, _ = mix_to_targets(docs.drop("lang"), docs.select("doc_id", F.col("lang").alias("domain")), LANGUAGE_TARGETS, carry=["doc_id"])
     posterior = [F.round(F.get("mix_posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(LANGUAGE_TARGETS)]
     return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posterior, F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"))
 
