@@ -86,8 +86,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, how: Signature) -> D
     return rows.mapInArrow(work, "id long, n long, f1 long, f2 long, sig binary")
 
 
-def chunk_keys(classes: DataFrame, how: Signature) -> DataFrame:
-    """(key, rep, n) for every chunk of every signature with one value left out."""
+def chunk_keys(classes: DataFrame, how: Signature, with_left: bool = False) -> DataFrame:
+    """(key, rep, n) for every chunk of every signature with one value left out; with that value (left) and its place if asked for.
+
+    Signatures that agree on a whole chunk meet under all its keys, others under one: `left <> left or place = 0` names a meeting once.
+    """
+    names = ["key", "rep", "n", "left", "place"][: 5 if with_left else 3]
+    schema = ", ".join(f"{n} {'int' if n in ('left', 'place') else 'long'}" for n in names)
 
     def work(batches):
         for batch in batches:
@@ -98,11 +103,12 @@ def chunk_keys(classes: DataFrame, how: Signature) -> DataFrame:
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(part.num_rows, -1)
                 keys, _ = how.keys(sig)
                 w = keys.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys.reshape(-1)), pa.array(np.repeat(part.column("rep").to_numpy(), w)), pa.array(np.repeat(part.column("n").to_numpy(), w))], names=["key", "rep", "n"]
-                )
+                out = [_signed(keys.reshape(-1)), pa.array(np.repeat(part.column("rep").to_numpy(), w)), pa.array(np.repeat(part.column("n").to_numpy(), w))]
+                if with_left:
+                    out += [pa.array(sig.reshape(-1).astype(np.int32)), pa.array(np.tile(np.arange(how.positions, dtype=np.int32) % how.chunk, part.num_rows))]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return classes.select("rep", "n", "sig").mapInArrow(work, "key long, rep long, n long")
+    return classes.select("rep", "n", "sig").mapInArrow(work, schema)
 
 
 def _near_sizes(a: str, b: str, percent: int) -> str:
@@ -152,19 +158,24 @@ class _Forest:
         return x
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, how: Signature, percent: int, scratch: Scratch, name: str, cell_bytes: int = 48 << 20) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, how: Signature, percent: int, scratch: Scratch, name: str, part_bytes: int = 48 << 20) -> DataFrame:
     """Links among `pairs` by their full shingle sets: enough of them that their components are those of all links.
 
-    Pairs are dealt to cells of a grid by the hashes of both ends, and each cell gets the sets of its documents once, however many
-    pairs they stand in. The grid is as fine as the total size of the sets asks for, so a cell holds about 2 * `cell_bytes`.
-    Within a cell, pairs that earlier links already join are passed over.
+    A document is labelled with the smallest id among itself and its partners, so that a group of copies mostly has one label. A
+    label is one part, or as many as the size of its sets asks for, and a pair is worked on in the cell of its two parts, which
+    holds at most about 2 * `part_bytes`. A cell gets the set of each of its documents once, however many pairs it stands in,
+    and passes over pairs that its earlier links already join.
     """
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = scratch.keep(_sets(docs.join(ids, "id", "left_semi"), how), f"{name}-sets")
-    side = max(6, -(-(sets.agg(F.sum(F.length("s"))).first()[0] or 0) // cell_bytes))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    dealt = pairs.select((part("a") * side + part("b")).alias("cell"), "a", "b")
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    label = ends.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("label"))
+    sets = scratch.keep(_sets(docs.join(label.select("id"), "id", "left_semi"), how), f"{name}-sets")
+    sized = sets.select("id", F.length("s").cast("long").alias("size")).join(label, "id")
+    parts = sized.groupBy("label").agg(F.ceil(F.sum("size") / F.lit(float(part_bytes))).cast("long").alias("parts")).where("parts > 1")
+    split = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    place = scratch.keep(sized.join(parts, "label", "left").select("id", F.xxhash64("label", split).alias("part")), f"{name}-places")
+    dealt = pairs.join(place.select(F.col("id").alias("a"), F.col("part").alias("p")), "a").join(place.select(F.col("id").alias("b"), F.col("part").alias("q")), "b")
+    dealt = scratch.keep(dealt.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("cell"), "a", "b"), f"{name}-dealt")
     wanted = dealt.select("cell", F.col("a").alias("id")).union(dealt.select("cell", "b")).distinct()
     held = wanted.join(sets, "id").select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "s")
     rows = held.union(dealt.select("cell", F.lit(1), "a", "b", F.lit(None).cast("binary")))
@@ -194,7 +205,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, how: Signature, percent: int,
 
     links = rows.repartition("cell").sortWithinPartitions("cell", "kind", "a", "b").mapInArrow(work, "a long, b long")
     links = scratch.keep(links, f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    for part in ("sets", "places", "dealt"):
+        scratch.drop(f"{name}-{part}")
     return links
 
 
@@ -233,11 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
         crowd = scratch.keep(rows.join(mixed, "key", "left_semi").select("rep", "comp").distinct(), "crowd")
         apart = signatures(texts.join(crowd.select(F.col("rep").alias("id")), "id", "left_semi"), "id", "text", how.longer())
-        apart = chunk_keys(apart.select(F.col("id").alias("rep"), "n", "sig"), how.longer()).join(crowd, "rep")
+        apart = chunk_keys(apart.select(F.col("id").alias("rep"), "n", "sig"), how.longer(), True).join(crowd, "rep")
         apart = scratch.keep(apart, "apart")
         main = apart.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-        out = apart.join(main, "key").where("comp <> m.comp").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        pairs = out.join(apart, "key").where("x <> rep and cx <> comp and " + _near_sizes("nx", "n", percent))
+        out = apart.join(main, "key").where("comp <> m.comp").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("left").alias("lx"))
+        pairs = out.join(apart, "key").where("x <> rep and cx <> comp and (lx <> left or place = 0) and " + _near_sizes("nx", "n", percent))
         second = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
         links = links.union(_confirmed(second, texts, how, percent, scratch, "second"))
         scratch.drop("apart")
