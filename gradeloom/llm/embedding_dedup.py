@@ -6,8 +6,9 @@ each other, and every list keeps its best. A list whose last place is still a li
 below cos(2 * angle(threshold)) are never kept, as no path of two links leads over them.
 
 Links of the graph give components. An audit compares a bounded sample of vectors with all rows; if it misses links, more tables
-are added. What lists with `most` places cannot hold is counted exactly: all members of a component are compared, in pairs of
-bounded blocks, and only counts leave the tasks.
+are added. Links that full lists had no room for are settled exactly: the vectors with full lists are put in cells, and all pairs
+of cells of different components that are near enough to hold a link are compared. What lists with `most` places cannot hold is
+counted exactly: all members of a component are compared, in pairs of bounded blocks, and only counts leave the tasks.
 """
 
 from __future__ import annotations
@@ -186,6 +187,77 @@ def audit(points: DataFrame, component: DataFrame, threshold: float, queries: in
     return (r.f or 0) / total if total else 1.0
 
 
+def _grid(rows: DataFrame, kind: list[str], key: str, block: int) -> DataFrame:
+    """`rows` dealt to pairs (part, other) of parts of about `block` rows, so that any two of one kind meet in one g."""
+    parts = rows.groupBy(*kind).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
+    rows = rows.join(parts, kind).withColumn("part", F.pmod(F.xxhash64(key), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("g", F.xxhash64(*kind, F.least("part", "other"), F.greatest("part", "other")))
+
+
+def _full(graph: DataFrame, room: int, threshold: float) -> DataFrame:
+    """Ids of vectors with at least `room` links in the graph: no other list can have lost a link for want of room."""
+    return graph.where(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("links")).where(F.col("links") >= room).select(F.col("u").alias("id"))
+
+
+def _settle(rows: DataFrame, threshold: float, scratch: Scratch, name: str, block: int = 1024) -> DataFrame:
+    """(a, b): for any two components with a link between vectors of `rows` (id, label, size, x, component), one such link at least.
+
+    Members of a component lie in cells of about `block` rows. By the triangle inequality of angles two cells hold a link only if
+    the angle of their centres is at most both radii and the threshold's angle; all such pairs of cells are compared in full.
+    """
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    parts = rows.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
+    placed = rows.join(parts, "component").select(F.xxhash64("label", "size", "component", F.pmod(F.xxhash64("id"), "parts")).alias("cell"), "id", "label", "size", "component", "x")
+    placed = scratch.keep(placed, f"{name}-cells")
+
+    def centre(batches):
+        for batch in runs(batches, "cell"):
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            first, middles, radii = pa.array(cuts[:-1]), [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                x = _matrix(batch.column("x").slice(a, b - a))
+                c = x.sum(0)
+                c = c / np.sqrt(c @ c) if c @ c > 1e-12 else x[0]
+                middles.append(c.tobytes())
+                radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(first) for k in ("cell", "label", "size", "component")), pa.array(middles, pa.binary()), pa.array(radii)], names=["cell", "label", "size", "component", "c", "radius"])
+
+    def meet(batches):
+        for batch in runs(batches, "g"):
+            g, part, other, cell, component, radius = (batch.column(k).to_numpy() for k in ("g", "part", "other", "cell", "component", "radius"))
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                c = _matrix(batch.column("c").slice(a, b - a))
+                left = np.flatnonzero(part[a:b] == part[a:b].min())
+                right = np.flatnonzero(part[a:b] != part[a:b].min()) if (part[a:b] != other[a:b]).any() else left
+                near = np.arccos(np.clip(c[left] @ c[right].T, -1, 1)) <= radius[a:b][left, None] + radius[a:b][None, right] + reach
+                i, j = np.nonzero(near & (component[a:b][left, None] != component[a:b][None, right]))
+                u, v = cell[a:b][left[i]], cell[a:b][right[j]]
+                once = u < v if right is left else np.ones(len(u), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[once]), pa.array(np.maximum(u, v)[once])], names=["one", "two"])
+
+    def link(batches):
+        for batch in runs(batches, "pair"):
+            pair, side, ids, component = (batch.column(k).to_numpy() for k in ("pair", "side", "id", "component"))
+            cuts = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                x, m = _matrix(batch.column("x").slice(a, b - a)), a + int((side[a:b] == 0).sum())
+                i, j = np.nonzero((x[: m - a] @ x[m - a :].T >= threshold) & (component[a:m, None] != component[None, m:b]))
+                if len(i):
+                    _, at = np.unique(np.stack([component[a:m][i], component[m:b][j]]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:m][i[at]]), pa.array(ids[m:b][j[at]])], names=["a", "b"])
+
+    cells = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(centre, "cell long, label string, size int, component long, c binary, radius double")
+    cells = _grid(scratch.keep(cells, f"{name}-centres"), ["label", "size"], "cell", 2048)
+    pairs = cells.select("g", "part", "other", "cell", "component", "c", "radius").repartition("g").sortWithinPartitions("g").mapInArrow(meet, "one long, two long")
+    pairs = scratch.keep(pairs.select(F.xxhash64("one", "two").alias("pair"), "one", "two"), f"{name}-pairs")
+    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("one").alias("cell")).union(pairs.select("pair", F.lit(1).alias("side"), F.col("two").alias("cell")))
+    sides = sides.join(placed, "cell").select("pair", "side", "id", "component", "x")
+    return scratch.keep(sides.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(link, "a long, b long"), f"{name}-links")
+
+
 def _exact_counts(points: DataFrame, component: DataFrame, threshold: float, block: int) -> DataFrame:
     """(id, links): for each member of a component the vectors it is linked with, copies counted, itself not."""
     root = component.select(F.col("component").alias("id"), "component").distinct()
@@ -257,6 +329,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if done >= 8 * tables or audit(points, component, threshold) >= recall:
             break
 
+    full = points.join(_full(graph, min(room, most), threshold), "id").join(component.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
+    full = full.select("id", "label", "size", "x", F.coalesce("component", "id").alias("component"))
+    more = _settle(full, threshold, scratch, "settle")
+    if not more.isEmpty():
+        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "components-settled")
+
     counts = _exact_counts(points, component, threshold, 2048)
     of = points.join(component, "id", "left").join(counts, "id", "left")
     of = of.select("label", "size", "x", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.col("times") - 1)).alias("n_links"))

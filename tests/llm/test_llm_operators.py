@@ -219,6 +219,23 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_links_between_dense_groups(spark):
+    r = np.random.default_rng(3)
+    d, n = 32, 90
+    one = np.zeros(d)
+    one[0] = 1.0
+    two = np.zeros(d)
+    two[:2] = 0.955, math.sqrt(1 - 0.955**2)
+    x = np.concatenate([c + 0.1 / math.sqrt(d) * r.standard_normal((n, d)) for c in (one, two)])
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = unit @ unit.T >= 0.93
+    assert near[:n, n:].any() and (unit[:n] @ unit[:n].T).min() > (unit[:n] @ unit[n:].T).max()  # all cross links lie behind those inside
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_vectors(df, room=4, most=16, tables=2, block=2048)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {i: (int(near[i].sum()) - 1, 0) for i in range(2 * n)}
+
+
 def test_licenses(spark):
     rows = [
         (1, "Intro\nLicensed under the Apache License, Version 2.0.\nmore", None, None, None), (2, "nothing here", None, None, None), (3, None, None, None, None), (4, "GNU general\npublic LICENSE and MIT license, mit license", None, None, None),
