@@ -4,7 +4,8 @@ The words of every template are put in one global order, rarest first by the num
 over the whole corpus. A block that holds a share `threshold` of a template's distinct words must hold one of the template's
 first |T| - needed + 1 words in that order (prefix filter), have enough words at all (length filter), and still be able to
 reach the needed overlap from where the first common words stand (positional filter). Blocks that pass are counted exactly.
-Fixed phrases are found beside, as places where their words stand in a row.
+A notice wrapped over lines is found by the same join with whole texts as blocks, then by a window of at most twice the
+template's words that slides over the texts that pass. Fixed phrases are found beside, as places where their words stand in a row.
 """
 
 from __future__ import annotations
@@ -68,13 +69,13 @@ class _Vocabulary:
 
 
 def _block_words(data, offsets, separator, vocabulary: _Vocabulary):
-    """Words of texts, and distinct (block, word number) pairs of known words; blocks are numbered by first byte."""
+    """Words of texts, distinct (block, word number) pairs of known words, and those words' indices, numbers and blocks; blocks are numbered by first byte."""
     h, rows, starts, ends = X.words(data, offsets, X.NOT_ALNUM, True)
     known, numbers = vocabulary.find(h)
     cuts = np.unique(np.concatenate([np.flatnonzero(separator[data]), offsets]))
     block = np.searchsorted(cuts, starts[known], "right")
     pairs = np.unique(block << 20 | numbers) if len(known) else np.zeros(0, np.int64)
-    return h, rows, starts, cuts, pairs >> 20, pairs & ((1 << 20) - 1)
+    return h, rows, starts, cuts, pairs >> 20, pairs & ((1 << 20) - 1), known, numbers, block
 
 
 def word_frequencies(docs: DataFrame, templates: Mapping[str, str], text_col: str = "text", separator: np.ndarray = X.NEWLINE) -> dict[str, int]:
@@ -95,6 +96,34 @@ def word_frequencies(docs: DataFrame, templates: Mapping[str, str], text_col: st
     return {w: found.get(i, 0) for i, w in enumerate(names)}
 
 
+def wrapped_windows(places: list[int], ranks: list[int], blocks: list[int], own: frozenset[int], need: int, length: int, taken: set[int]) -> list[tuple[int, int, int]]:
+    """(first block, last block, distinct words) of disjoint windows of at most `length` words with `need` words of a template.
+
+    places, ranks and blocks tell where the words of `own` stand in a text. Blocks in `taken` end a window. Of windows that
+    overlap the one with most distinct words is kept, the first of equals.
+    """
+    at = [i for i, r in enumerate(ranks) if r in own]
+    found, low, counts = [], 0, {}
+    for high, i in enumerate(at):
+        if blocks[i] in taken:
+            low, counts = high + 1, {}
+            continue
+        counts[ranks[i]] = counts.get(ranks[i], 0) + 1
+        while places[i] - places[at[low]] >= length or counts[ranks[at[low]]] > 1:
+            r = ranks[at[low]]
+            counts[r] -= 1
+            if not counts[r]:
+                del counts[r]
+            low += 1
+        if len(counts) >= need:
+            found.append((len(counts), at[low], i))
+    kept: list[tuple[int, int, int]] = []
+    for seen, a, b in sorted(found, key=lambda w: (-w[0], w[1])):
+        if all(b < x or a > y for x, y, _ in kept):
+            kept.append((a, b, seen))
+    return [(blocks[a], blocks[b], seen) for a, b, seen in sorted(kept)]
+
+
 class TemplateIndex:
     """Templates by the words of their prefixes, in the global order of `frequencies`."""
 
@@ -104,7 +133,7 @@ class TemplateIndex:
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
         number = {w: i for i, w in enumerate(self.vocabulary.words)}
-        self.labels, self.sets, self.needed = [], [], []
+        self.labels, self.sets, self.needed, self.window = [], [], [], []
         self.by_word: dict[int, list[tuple[int, int]]] = {}
         for label, text in sorted(templates.items()):
             ranks = sorted({int(self.rank[number[w]]) for w in template_words(text)})
@@ -116,6 +145,7 @@ class TemplateIndex:
             self.labels.append(label)
             self.sets.append(frozenset(ranks))
             self.needed.append(need)
+            self.window.append(2 * len(template_words(text)))
         self.prefix = np.zeros(max(len(order), 1), bool)
         self.prefix[list(self.by_word)] = True
 
@@ -142,7 +172,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
 
     n_base counts the places of the phrases; first_word and last_word are the least and greatest word number of one (null
     without). base_labels are the phrases' labels, labels also the templates', sorted and comma-joined. blocks lists each
-    matching text block (a stretch between `separator` bytes): label, first byte, last byte and share of the template's words.
+    matching text block (a stretch between `separator` bytes): label, first byte, last byte and share of the template's words. A
+    notice that no single block holds is found over several: a window of at most twice the template's words, outside the blocks
+    that match alone; it is listed from the start of its first block to the end of its last, with the share of the window.
     license_score is 1 with a phrase, else the greatest share, else 0. A null text counts as empty: no words, empty labels.
     Repeated rows are scanned each; an empty table gives an empty one; columns of the new names are replaced.
     """
@@ -166,7 +198,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
             for a, b in X.row_blocks(text):
                 n = b - a
                 data, offsets = X.utf8(text.slice(a, n))
-                h, rows, starts, cuts, block, number = _block_words(data, offsets, cut, index.vocabulary)
+                h, rows, starts, cuts, block, number, known, each, where = _block_words(data, offsets, cut, index.vocabulary)
                 word_at = X.bounds(rows, n)
                 places: list[list[int]] = [[] for _ in range(n)]
                 labels: list[set[str]] = [set() for _ in range(n)]
@@ -182,6 +214,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
                         places[row].append(int(i - word_at[row]))
                         labels[row].add(label)
                 found: list[list[dict]] = [[] for _ in range(n)]
+                alone: dict[tuple[int, int], set[int]] = {}
                 ranks = index.rank[number] if len(number) else number
                 for k in np.unique(block[index.prefix[ranks]]) if len(ranks) else ():
                     own = np.sort(ranks[block == k] if len(block) < 4096 else ranks[np.searchsorted(block, k) : np.searchsorted(block, k, "right")])
@@ -191,6 +224,21 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
                         start = low - int(offsets[row]) + bool(cut[data[low]])
                         high = int(min(cuts[k], offsets[row + 1])) - int(offsets[row])
                         found[row].append({"label": index.labels[template], "first": start, "last": high, "share": share})
+                        alone.setdefault((row, template), set()).add(int(k))
+                each = index.rank[each] if len(each) else each
+                known_at = X.bounds(rows[known], n)
+                for row in np.unique(rows[known[index.prefix[each]]]) if len(each) else ():
+                    i, j = int(known_at[row]), int(known_at[row + 1])
+                    if where[i] == where[j - 1]:
+                        continue
+                    for template, _ in index.matches(np.unique(each[i:j]).tolist()):
+                        size, need = len(index.sets[template]), index.needed[template]
+                        windows = wrapped_windows(known[i:j].tolist(), each[i:j].tolist(), where[i:j].tolist(), index.sets[template], need, index.window[template], alone.get((int(row), template), set()))
+                        for first, last, seen in windows:
+                            low = int(cuts[first - 1])
+                            start = low - int(offsets[row]) + bool(cut[data[low]])
+                            high = int(min(cuts[last], offsets[row + 1])) - int(offsets[row])
+                            found[row].append({"label": index.labels[template], "first": start, "last": high, "share": seen / size})
                 values = [
                     np.diff(word_at), [len(p) for p in places], [min(p, default=None) for p in places], [max(p, default=None) for p in places],
                     [",".join(sorted(x)) for x in labels], [",".join(sorted(x | {m["label"] for m in f})) for x, f in zip(labels, found, strict=True)],

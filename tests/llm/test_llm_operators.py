@@ -253,6 +253,21 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions\r\n# are met:\r\n"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3"
+    words = license_scan.TEMPLATES["mit-grant"].split()
+    filler = " ".join(f"w{i}" for i in range(9))
+    texts = [f"Intro line\n\n{mit}\nmore", bsd, gpl, "\n".join(words), "\n".join(f"{w} {filler}" for w in words), mit + "\n\nabc\n" + mit, " ".join(words) + "\n" + mit]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i].labels for i in range(7)] == ["mit-grant", "bsd-grant", "gpl,gpl-any", "mit-grant", "", "mit-grant", "mit-grant"]
+    assert [got[i].license_score for i in (0, 1, 3, 4)] == [1.0, 1.0, 1.0, 0.0]
+    b = got[0].blocks[0]
+    assert texts[0][b.first : b.last].strip().startswith("Permission is") and texts[0][b.first : b.last].endswith("to deal")
+    assert [len(got[i].blocks) for i in (0, 3, 5, 6)] == [1, 1, 2, 2]
+
+
 def test_license_join_is_exact():
     r = np.random.default_rng(2)
     words = sorted({w for t in license_scan.TEMPLATES.values() for w in license_scan.template_words(t)})
