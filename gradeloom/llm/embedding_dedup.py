@@ -5,8 +5,9 @@ small blocks, and is refined by local joins: the neighbours of a vector, and tho
 each other, and every list keeps its best. A list whose last place is still a link is saturated and gets twice the room. Edges
 below cos(2 * angle(threshold)) are never kept, as no path of two links leads over them.
 
-Links of the graph give components. An audit compares a bounded sample of vectors with all rows; if it misses links, more tables
-are added. Links that full lists had no room for are settled exactly: the vectors with full lists are put in cells, and all pairs
+Links of the graph give components. An audit compares one vector each of a sample of groups with all rows, drawing until enough of
+them have links; what was missed is added, and if recall by groups is too low, more tables are. If the last table is not enough
+either, cells of all vectors are compared exactly. Links that full lists had no room for are settled exactly: the vectors with full lists are put in cells, and all pairs
 of cells of different components that are near enough to hold a link are compared. What lists with `most` places cannot hold is
 counted exactly: all members of a component are compared, in pairs of bounded blocks, and only counts leave the tasks.
 """
@@ -154,17 +155,41 @@ def _local_join(graph: DataFrame, points: DataFrame, room: int, floor: float) ->
     return rows.repartition("u").sortWithinPartitions("u", "v").mapInArrow(compare, EDGE)
 
 
-def audit(points: DataFrame, component: DataFrame, threshold: float, queries: int = 256) -> float:
-    """The share of links of at most `queries` vectors, compared with all rows, whose ends share a component; 1 without links."""
+def audit(points: DataFrame, component: DataFrame, threshold: float, scratch: Scratch, name: str, enough: int = 256, first: int = 1024, most: int = 16384) -> tuple[float, DataFrame | None]:
+    """Recall by groups, and links (a, b) that were missed.
+
+    A group is a component or a vector alone; the vector with its smallest id stands for it, so that a large group weighs no more
+    than a pair. Groups are drawn until `enough` of those compared with all rows have a link, or there are no more. Recall is the
+    mean, over those with a link, of the share of their links whose ends share a component; 1 if no vector has a link.
+    """
     rows = points.select("id", "label", "size", "x").join(component.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
-    rows = rows.withColumn("component", F.coalesce("component", "id")).drop("cid")
-    asked = rows.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    rows = scratch.keep(rows.withColumn("component", F.coalesce("component", "id")).drop("cid"), f"{name}-rows")
+    groups = rows.where("id = component").withColumn("h", F.xxhash64("id")).select("h", "id", "label", "size", "x")
+    shares, missed, last, draw, turn = [], None, None, first, 0
+    while len(shares) < enough:
+        left = groups if last is None else groups.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("id") > last[1])))
+        asked = left.orderBy("h", "id").limit(draw).collect()
+        if not asked:
+            break
+        last = (asked[-1].h, asked[-1].id)
+        found = scratch.keep(_compared(rows, asked, threshold), f"{name}-{turn}")
+        counts = found.groupBy("q").agg(F.sum("found").alias("f"), F.sum("missed").alias("m")).collect()
+        shares += [r.f / (r.f + r.m) for r in counts]
+        some = found.where("v is not null").select(F.col("q").alias("a"), F.col("v").alias("b"))
+        missed = some if missed is None else missed.union(some)
+        if len(asked) < draw:
+            break
+        draw, turn = min(draw * 4, most), turn + 1
+    return (sum(shares) / len(shares) if shares else 1.0), missed
+
+
+def _compared(rows: DataFrame, asked: list, threshold: float) -> DataFrame:
+    """(q, found, missed, v): counts of an asked vector's links within and out of its component, and of the latter one for each other component met."""
     by_kind: dict[tuple, list] = {}
     for r in asked:
-        by_kind.setdefault((r.label, r.size), []).append((r.id, r.component, bytes(r.x)))
+        by_kind.setdefault((r.label, r.size), []).append((r.id, bytes(r.x)))
 
     def work(batches):
-        found = missed = 0
         for batch in batches:
             kinds: dict[tuple, list[int]] = {}
             for i, kind in enumerate(zip(batch.column("label").to_pylist(), batch.column("size").to_pylist(), strict=True)):
@@ -172,19 +197,26 @@ def audit(points: DataFrame, component: DataFrame, threshold: float, queries: in
                     kinds.setdefault(kind, []).append(i)
             ids, comps = batch.column("id").to_numpy(), batch.column("component").to_numpy()
             for kind, at in kinds.items():
-                own = by_kind[kind]
+                own = np.array([o[0] for o in by_kind[kind]])
                 x = _matrix(batch.column("x").take(pa.array(at)))
-                q = np.frombuffer(b"".join(o[2] for o in own), "<f8").reshape(len(own), -1)
+                q = np.frombuffer(b"".join(o[1] for o in by_kind[kind]), "<f8").reshape(len(own), -1)
                 i, j = np.nonzero(q @ x.T >= threshold)
-                other = np.array([o[0] for o in own])[i] != ids[at][j]
-                same = np.array([o[1] for o in own])[i] == comps[at][j]
-                found += int((other & same).sum())
-                missed += int((other & ~same).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64()), pa.array([missed], pa.int64())], names=["found", "missed"])
+                i, j = own[i], np.array(at)[j]
+                other = i != ids[j]
+                i, j = i[other], j[other]
+                if not len(i):
+                    continue
+                same = i == comps[j]
+                asked_ids, back = np.unique(i, return_inverse=True)
+                f, m = np.bincount(back, same), np.bincount(back, ~same)
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.array(f.astype(np.int64)), pa.array(m.astype(np.int64)), pa.nulls(len(asked_ids), pa.int64())], names=["q", "found", "missed", "v"])
+                i, j = i[~same], j[~same]
+                if len(i):
+                    once = np.unique(np.stack([i, comps[j]]), axis=1, return_index=True)[1]
+                    zero = pa.array(np.zeros(len(once), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(i[once]), zero, zero, pa.array(ids[j[once]])], names=["q", "found", "missed", "v"])
 
-    r = rows.mapInArrow(work, "found long, missed long").agg(F.sum("found").alias("f"), F.sum("missed").alias("m")).first()
-    total = (r.f or 0) + (r.m or 0)
-    return (r.f or 0) / total if total else 1.0
+    return rows.mapInArrow(work, "q long, found long, missed long, v long")
 
 
 def _grid(rows: DataFrame, kind: list[str], key: str, block: int) -> DataFrame:
@@ -307,7 +339,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     coded = scratch.keep(points.join(sizes, ["label", "size"]), "points")
     floor = max(2 * threshold**2 - 1, 0.0) if threshold > 0 else -1.0
 
-    graph, done, turn = None, 0, 0
+    graph, extra, done, turn = None, None, 0, 0
     while True:
         new = None
         for table in range(done, done + tables):
@@ -325,15 +357,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 break
         turn += 1
         linked = graph.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        if extra is not None:
+            linked = linked.union(extra)
         component = connected_components(linked, scratch, f"components-{done}")
-        if done >= 8 * tables or audit(points, component, threshold) >= recall:
+        got, missed = audit(points, component, threshold, scratch, f"audit-{done}")
+        if missed is not None:
+            extra = missed if extra is None else extra.union(missed)
+        whole = got < recall and done >= 8 * tables
+        if got >= recall or whole:
             break
 
-    full = points.join(_full(graph, min(room, most), threshold), "id").join(component.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
-    full = full.select("id", "label", "size", "x", F.coalesce("component", "id").alias("component"))
-    more = _settle(full, threshold, scratch, "settle")
+    own = component.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if missed is not None and not missed.isEmpty():
+        component = connected_components(own.union(missed), scratch, "components-audited")
+        own = component.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    full = points if whole else points.join(_full(graph, min(room, most), threshold), "id")
+    full = full.join(component.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
+    more = _settle(full.select("id", "label", "size", "x", F.coalesce("component", "id").alias("component")), threshold, scratch, "settle")
     if not more.isEmpty():
-        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "components-settled")
+        component = connected_components(own.union(more), scratch, "components-settled")
 
     counts = _exact_counts(points, component, threshold, 2048)
     of = points.join(component, "id", "left").join(counts, "id", "left")

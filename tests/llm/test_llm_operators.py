@@ -236,6 +236,18 @@ def test_embeddings_links_between_dense_groups(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {i: (int(near[i].sum()) - 1, 0) for i in range(2 * n)}
 
 
+def test_embeddings_audit_weighs_groups(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([np.tile(r.standard_normal(16), (300, 1)) + 0.01 * r.standard_normal((300, 16)), np.repeat(r.standard_normal((3, 16)), 2, axis=0) + 0.01 * r.standard_normal((6, 16))])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    points = spark.createDataFrame([(i, "a", 16, v.astype("<f8").tobytes()) for i, v in enumerate(x)], "id long, label string, size int, x binary")
+    component = spark.createDataFrame([(i, 0) for i in range(1, 300)], "id long, component long")  # the three pairs are missed
+    scratch = embedding_dedup.Scratch(spark, "audit-test")
+    recall, missed = embedding_dedup.audit(points, component, 0.93, scratch, "audit", first=2)
+    assert recall == 1 / 7
+    assert {frozenset((m.a, m.b)) for m in missed.collect()} == {frozenset((300 + 2 * i, 301 + 2 * i)) for i in range(3)}
+
+
 def test_licenses(spark):
     rows = [
         (1, "Intro\nLicensed under the Apache License, Version 2.0.\nmore", None, None, None), (2, "nothing here", None, None, None), (3, None, None, None, None), (4, "GNU general\npublic LICENSE and MIT license, mit license", None, None, None),
