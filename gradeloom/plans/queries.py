@@ -232,8 +232,8 @@ def contiguous_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, o_custkey, position, ordinal FROM {POSITIONS} JOIN (SELECT unnest({select.random_positions(1500, 50, 11)}) AS position, unnest(range(50)) AS ordinal) USING (position)")
 def sample_random_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty of the first 1,500 positions, as a seeded generator draws them."""
-    return select.random_rows(_placed(spark, sf_dir), 50, 11, 1500).select("o_orderkey", "o_custkey", "position", "ordinal")
+    """Fifty of all positions, as a seeded generator draws them. The SQL holds the draw from 1,500 positions, the rows of sf0.001."""
+    return select.random_rows(_placed(spark, sf_dir), 50, 11, table(spark, sf_dir, "orders").count()).select("o_orderkey", "o_custkey", "position", "ordinal")
 
 
 @query("SELECT position // 64 AS batch, count(*) AS n, min(o_orderkey) AS first_key FROM " + POSITIONS + " GROUP BY 1")

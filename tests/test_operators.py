@@ -91,6 +91,16 @@ def test_selection(spark):
     assert chunks == [15, 15, 15, 15, 15, 15, 10]
 
 
+def test_sample_draws_from_the_whole_table(spark, tmp_path):
+    from gradeloom.plans import registry
+
+    spark.range(4000).select((F.col("id") * 3).alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.QUERIES["sample_random_seeded"](spark, str(tmp_path)).collect()
+    want = random.Random(11).sample(range(4000), 50)
+    assert [r.position for r in sorted(got, key=lambda r: r.ordinal)] == want
+    assert all(r.o_orderkey == 3 * r.position for r in got)
+
+
 def test_resume(spark):
     cache = spark.createDataFrame([("1", "a", None), ("2", "a", "llm_error: x"), ("3", "b", None)], "eval_id string, fingerprint string, reason string")
     use = resume.reusable(cache, "a")
