@@ -1,21 +1,20 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-Every text becomes a set of word shingles and a signature of `POSITIONS` b-bit MinHash values. The signature is cut
-into chunks of `CHUNK` values. If two signatures differ in at most 2 * chunks - 1 places, the pigeonhole principle gives
-them a chunk with at most one difference; so each document files itself, for every chunk, under the chunk with each one
-of its values left out, and the pairs that meet under some key hold all pairs within that distance. Every pair that is
-linked in the end has been confirmed on the full shingle sets.
-
-Work within a key is bounded. A key with few documents gives its pairs. A crowded key first gives each document and one
-member, chosen by a hash of key and document; what the confirmed links leave in different components is filed again by a
-longer signature with longer chunks, which documents that merely share a passage do not meet in. There only documents outside
-a key's main component look for partners, and they look among all others. With the lengths used, two texts at the threshold
-itself miss each other in both indexes in about 2 of 100,000 cases, and more similar ones far more rarely.
+Every text becomes a set of word shingles and a signature of `positions` b-bit MinHash values. The signature is cut into
+chunks of `chunk` values. If two signatures differ in at most 2 * chunks - 1 places, the pigeonhole principle gives them a
+chunk with at most one difference; so each document files itself, for every chunk, under the chunk with each one of its
+values left out, and the pairs that meet under some key hold all pairs within that distance. No meeting is given up: a pair
+that meets is compared on its full shingle sets, or stands in one component already.
+
+No group's pairs leave a task. Under each key, documents are compared with the next two by size first, which settles keys of up
+to three documents and joins most of what is linked at all. What then lies in different components under one key is compared
+in blocks of bounded bytes: documents outside the key's largest component visit the blocks of that component, and the blocks
+of each other. Only links that join components leave a block.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Scratch, runs, small_batches
+from ._shared import Scratch, small_batches, split_by
 from .components import connected_components
 
 U = np.uint64
@@ -31,18 +30,14 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Signature:
-    """positions: MinHash values; chunk: values a chunk; crowd: a key with more documents gives no pairs by itself at first."""
+    """positions: MinHash values; chunk: values a chunk; local: a key with more documents of one block of rows is salted."""
 
     shingle: int = 5
     positions: int = 80
     chunk: int = 5
-    crowd: int = 48
+    local: int = 64
     seed: int = 11
 
-    def longer(self) -> Signature:
-        """Of the index for crowded keys."""
-        return replace(self, positions=192, chunk=8, seed=self.seed + 1)
-
     @property
     def factors(self) -> np.ndarray:
         return np.random.default_rng(self.seed).integers(1, 2**63, self.positions, dtype=U) | U(1)
@@ -86,51 +81,93 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, how: Signature) -> D
     return rows.mapInArrow(work, "id long, n long, f1 long, f2 long, sig binary")
 
 
-def chunk_keys(classes: DataFrame, how: Signature, with_left: bool = False) -> DataFrame:
-    """(key, rep, n) for every chunk of every signature with one value left out; with that value (left) and its place if asked for.
+def filed(classes: DataFrame, how: Signature, block: int = 4096) -> DataFrame:
+    """(key, salt, n, rep, extra) for every chunk of every signature with one value left out.
 
-    Signatures that agree on a whole chunk meet under all its keys, others under one: `left <> left or place = 0` names a meeting once.
+    A key that holds more than `how.local` documents of one block of rows is crowded: there the block's documents are filed under
+    the key with a salt of their own, and only the block's two first and two last ones, marked extra, under the key itself too.
+    So no task gets more of a key than its blocks have, and the extra ones hold the salted runs together.
     """
-    names = ["key", "rep", "n", "left", "place"][: 5 if with_left else 3]
-    schema = ", ".join(f"{n} {'int' if n in ('left', 'place') else 'long'}" for n in names)
 
     def work(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, batch.num_rows, block):
+                part = batch.slice(i, block)
                 if not part.num_rows:
                     continue
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(part.num_rows, -1)
+                n, rep = part.column("n").to_numpy(), part.column("rep").to_numpy()
+                order = np.lexsort((rep, n))
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(part.num_rows, -1)[order]
                 keys, _ = how.keys(sig)
-                w = keys.shape[1]
-                out = [_signed(keys.reshape(-1)), pa.array(np.repeat(part.column("rep").to_numpy(), w)), pa.array(np.repeat(part.column("n").to_numpy(), w))]
-                if with_left:
-                    out += [pa.array(sig.reshape(-1).astype(np.int32)), pa.array(np.tile(np.arange(how.positions, dtype=np.int32) % how.chunk, part.num_rows))]
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return classes.select("rep", "n", "sig").mapInArrow(work, schema)
-
-
-def _near_sizes(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def _small_key_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs of documents of like size under each key; a key has at most `crowd` rows here."""
+                n, rep = np.repeat(n[order], keys.shape[1]), np.repeat(rep[order], keys.shape[1])
+                keys = keys.reshape(-1)
+                by_key = np.argsort(keys, kind="stable")  # within a key by n and rep
+                first = np.flatnonzero(np.r_[True, keys[by_key][1:] != keys[by_key][:-1]])
+                size = np.diff(np.r_[first, len(keys)])
+                full = np.flatnonzero(size > how.local)
+                salt = np.zeros(len(keys), np.int32)
+                ends = []
+                for f, s in zip(first[full], size[full], strict=True):
+                    salt[by_key[f : f + s]] = 1 + (int(rep.min()) * 0x9E3779B1 >> 7) % 0x7FFFFFF0
+                    ends.append(by_key[[f, f + 1, f + s - 2, f + s - 1]])
+                extra = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+                at = np.r_[np.arange(len(keys)), extra]
+                salt = np.r_[salt, np.zeros(len(extra), np.int32)]
+                marked = np.r_[np.zeros(len(keys), bool), np.ones(len(extra), bool)]
+                yield pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(salt), pa.array(n[at]), pa.array(rep[at]), pa.array(marked)], names=["key", "salt", "n", "rep", "extra"])
+
+    return classes.select("rep", "n", "sig").mapInArrow(work, "key long, salt int, n long, rep long, extra boolean")
+
+
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """What is under the same key: (null, a, b) for documents next or next but one to each other by size, and (key, rep, null) for
+    every document of a key with more than three, whose other pairs are still to be looked at.
+
+    Streams over sorted rows; no run is held.
+    """
 
     def work(batches):
-        for batch in runs(batches, "key"):
-            key, rep, n = (batch.column(c).to_numpy() for c in ("key", "rep", "n"))
-            for s in range(1, batch.num_rows):
-                same = key[:-s] == key[s:]
-                if not same.any():
-                    break
-                i = np.flatnonzero(same & (100 * n[:-s] >= percent * n[s:]) & (rep[:-s] != rep[s:]))
-                if len(i):
-                    x, y = rep[i], rep[i + s]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return rows.select("key", "n", "rep").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(work, "a long, b long")
+        carry, done = None, 0  # the last rows, and how many of them have been told
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
+            carry, done = (yield from told(table, done, 3))
+        if carry is not None:
+            yield from told(pa.Table.from_batches([carry]), done, 0)
+
+    def told(table, done, ahead):
+        """Rows from `done` to `ahead` before the end; the rows to carry on, and how many of them are done."""
+        count = table.num_rows
+        upto = count - ahead
+        if upto <= done:
+            return (table.to_batches()[0] if count else None), done
+        key, salt, n, rep, extra = (table.column(c).to_numpy() for c in ("key", "salt", "n", "rep", "extra"))
+        same = lambda s: (key[:-s] == key[s:]) & (salt[:-s] == salt[s:])
+        crowded = np.zeros(count, bool)
+        if count > 3:
+            four = same(3)
+            for s in range(4):
+                crowded[s : count - 3 + s] |= four
+        a, b = [], []
+        for s in (1, 2):
+            if count > s:
+                i = np.flatnonzero(same(s) & (100 * n[:-s] >= percent * n[s:]) & (rep[:-s] != rep[s:]))
+                i = i[(i >= done) & (i < upto)]
+                a.append(np.minimum(rep[i], rep[i + s]))
+                b.append(np.maximum(rep[i], rep[i + s]))
+        left = np.flatnonzero(crowded & ~extra)
+        left = left[(left >= done) & (left < upto)]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        none = len(a)
+        keys = pa.array(np.r_[np.zeros(none, np.int64), key[left]], mask=np.r_[np.ones(none, bool), np.zeros(len(left), bool)])
+        ends = pa.array(np.r_[b, np.zeros(len(left), np.int64)], mask=np.r_[np.zeros(none, bool), np.ones(len(left), bool)])
+        out = pa.RecordBatch.from_arrays([keys, pa.array(np.r_[a, rep[left]]), ends], names=["key", "a", "b"])
+        if out.num_rows:
+            yield out
+        keep = max(0, upto - 3)
+        return table.slice(keep).combine_chunks().to_batches()[0], upto - keep
+
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "rep")
+    return dealt.mapInArrow(work, "key long, a long, b long")
 
 
 def _sets(docs: DataFrame, how: Signature) -> DataFrame:
@@ -158,7 +195,16 @@ class _Forest:
         return x
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, how: Signature, percent: int, scratch: Scratch, name: str, part_bytes: int = 48 << 20) -> DataFrame:
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, part_bytes: int) -> DataFrame:
     """Links among `pairs` by their full shingle sets: enough of them that their components are those of all links.
 
     A document is labelled with the smallest id among itself and its partners, so that a group of copies mostly has one label. A
@@ -166,16 +212,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, how: Signature, percent: int,
     holds at most about 2 * `part_bytes`. A cell gets the set of each of its documents once, however many pairs it stands in,
     and passes over pairs that its earlier links already join.
     """
-    pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     label = ends.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("label"))
-    sets = scratch.keep(_sets(docs.join(label.select("id"), "id", "left_semi"), how), f"{name}-sets")
-    sized = sets.select("id", F.length("s").cast("long").alias("size")).join(label, "id")
+    sized = sets.groupBy("id").agg(F.sum(F.length("s")).alias("size")).join(label, "id")
     parts = sized.groupBy("label").agg(F.ceil(F.sum("size") / F.lit(float(part_bytes))).cast("long").alias("parts")).where("parts > 1")
     split = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    place = scratch.keep(sized.join(parts, "label", "left").select("id", F.xxhash64("label", split).alias("part")), f"{name}-places")
+    place = scratch.keep(sized.join(parts, "label", "left").select("id", F.xxhash64("label", split).alias("part")), "places")
     dealt = pairs.join(place.select(F.col("id").alias("a"), F.col("part").alias("p")), "a").join(place.select(F.col("id").alias("b"), F.col("part").alias("q")), "b")
-    dealt = scratch.keep(dealt.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("cell"), "a", "b"), f"{name}-dealt")
+    dealt = scratch.keep(dealt.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("cell"), "a", "b"), "dealt")
     wanted = dealt.select("cell", F.col("a").alias("id")).union(dealt.select("cell", "b")).distinct()
     held = wanted.join(sets, "id").select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "s")
     rows = held.union(dealt.select("cell", F.lit(1), "a", "b", F.lit(None).cast("binary")))
@@ -189,35 +233,110 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, how: Signature, percent: int,
                 if at != cell:
                     cell, known, forest = at, {}, _Forest()
                 if not kind:
-                    known[a] = np.frombuffer(batch.column("s")[i].as_py(), U)
+                    known.setdefault(a, []).append(np.frombuffer(batch.column("s")[i].as_py(), U))
                     continue
-                x, y = known[a], known[b]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or (r := forest.root(a)) == (q := forest.root(b)):
+                if (r := forest.root(a)) == (q := forest.root(b)):
                     continue
-                at_x = np.searchsorted(x, y)
-                at_x[at_x == len(x)] = 0
-                common = int((x[at_x] == y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    forest.up[r] = q
-                    found.append((a, b))
+                for x, y in ((x, y) for x in known[a] for y in known[b]):
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    common = _common(x, y)
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        forest.up[r] = q
+                        found.append((a, b))
+                        break
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
 
-    links = rows.repartition("cell").sortWithinPartitions("cell", "kind", "a", "b").mapInArrow(work, "a long, b long")
-    links = scratch.keep(links, f"{name}-links")
-    for part in ("sets", "places", "dealt"):
-        scratch.drop(f"{name}-{part}")
-    return links
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind", "a", "b").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, how: Signature | None = None) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id, kept.
+def _cells(crowd: DataFrame, member: DataFrame, sets: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+    """(cell, kind, id, comp): blocks of documents (kind 0) and those that visit them (kind 1), for all that meets under a key of
+    `crowd` in different components.
+
+    Under a key, the documents outside its largest component visit the blocks of that component's documents, once for all keys
+    that say so; and if they are of several components themselves, the blocks of each other, once for all keys with the same
+    documents. A block holds about `block_bytes`.
+    """
+    sized = sets.groupBy("id").agg(F.sum(F.length("s")).alias("size"))
+    own = crowd.groupBy("rep").agg(F.collect_list("key").alias("keys")).withColumnRenamed("rep", "id")  # at most one key a place of the signature
+    own = scratch.keep(own.join(sized, "id").join(member, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "own")
+    rows = own.select(F.explode("keys").alias("key"), "id", "comp", "size")
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"), "comps")
+    out = scratch.keep(rows.join(main, "key").where("comp <> main"), "outside")
+
+    bound = F.lit(float(block_bytes))
+    visits = out.select("id", "comp", "main").distinct()
+    homes = visits.select("main").distinct()
+    inside = own.join(homes.withColumnRenamed("main", "comp"), "comp", "left_semi").select("id", "comp", "size")
+    blocks = inside.groupBy("comp").agg(F.ceil(F.sum("size") / bound).cast("int").alias("blocks"))
+    each = inside.join(blocks, "comp")
+    first = each.select(F.xxhash64(F.lit(1), "comp", F.pmod(F.xxhash64("id"), "blocks")).alias("cell"), F.lit(0).alias("kind"), "id", "comp")
+    calls = visits.join(blocks.withColumnRenamed("comp", "main"), "main").select("id", "comp", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("k"))
+    second = calls.select(F.xxhash64(F.lit(1), "main", "k").alias("cell"), F.lit(1).alias("kind"), "id", "comp")
+
+    several = out.where("comps > 2").groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.ceil(F.sum("size") / bound).cast("int").alias("blocks"))
+    several = several.groupBy("x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks"))  # one key of those with the same documents
+    group = out.join(several.select("key", "blocks"), "key").select("key", "id", "comp", "blocks")
+    third = group.select(F.xxhash64(F.lit(2), "key", F.pmod(F.xxhash64("id"), "blocks")).alias("cell"), F.lit(0).alias("kind"), "id", "comp")
+    calls = group.select("key", "id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("k"))
+    fourth = calls.select(F.xxhash64(F.lit(2), "key", "k").alias("cell"), F.lit(1).alias("kind"), "id", "comp")
+    return first.union(second).union(third).union(fourth)
+
+
+def _joined(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between visitors and documents of their cells' blocks, enough of them to join what is linked in a cell."""
+    rows = cells.join(sets, "id").select("cell", "kind", "id", "comp", "s")
+
+    def index(block):
+        """Shingles of a block in order, whose each one is, sizes, ids and components."""
+        sizes = np.array([len(s) for _, _, s in block])
+        values, owner = np.concatenate([s for _, _, s in block]), np.repeat(np.arange(len(block)), sizes)
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order], sizes, [i for i, _, _ in block], [c for _, c, _ in block]
+
+    def work(batches):
+        cell, block, held, forest = None, [], None, _Forest()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in ("cell", "kind", "id", "comp")]
+            for i, (at, kind, one, comp) in enumerate(zip(*columns, strict=True)):
+                if at != cell:
+                    cell, block, held, forest = at, [], None, _Forest()
+                s = np.frombuffer(batch.column("s")[i].as_py(), U)
+                if not kind:
+                    block.append((one, comp, s))
+                    continue
+                if not block:
+                    continue
+                held = held or index(block)
+                values, owner, sizes, ids, comps = held
+                low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                size = high - low
+                at_low = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                common = np.bincount(owner[at_low], minlength=len(sizes))
+                for k in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)):
+                    if (r := forest.root(comp)) != (q := forest.root(comps[k])):
+                        forest.up[r] = q
+                        found.append((min(one, ids[k]), max(one, ids[k])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind", "id").mapInArrow(work, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, how: Signature | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+    """One row per row of `docs`: id_col, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct word shingles (A-Z
     lower-cased; fewer words than a shingle are one shingle). component_id is the smallest id reachable over links;
     kept tells whether it is the document's own. A null, empty or blank text has no shingles and no links. Repeated rows
-    with one id count as one document that has every row's links. A null id has a null component and is kept. An empty
-    table gives an empty one. Any integer id and any other columns are allowed; the latter are not read.
+    with one id count as one document that has every row's links, also if their texts differ; each row has its own n_shingles.
+    Ties don't arise: the smallest id stays. A null id has a null component and is kept. An empty table gives an empty one. Texts
+    of any length are read whole; a task holds the sets of a block of about `block_bytes`, or of one document. Any integer id and
+    any other columns are allowed; the latter are not read.
     """
     how = how or Signature()
     spark = docs.sparkSession
@@ -227,35 +346,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sigs.where("n > 0 and id is not null")
     classes = named.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "sig")).alias("r")).select("f1", "f2", "n", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig"))
     classes = scratch.keep(classes, "classes")
+    rows = scratch.keep(sigs.select("id", "n", "f1", "f2").join(classes.drop("sig"), ["f1", "f2", "n"], "left").select("id", "n", "rep"), "rows")
+    scratch.drop("signatures")
+
+    met = scratch.keep(meetings(filed(classes, how), percent), "met")
+    scratch.drop("classes")
+    pairs = scratch.keep(met.where("key is null").select("a", "b").distinct(), "pairs")
+    crowd = met.where("key is not null").select("key", F.col("a").alias("rep"))
+    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("rep")).distinct(), "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    hashed = chunk_keys(classes, how).withColumn("h", F.xxhash64("key", "rep"))
-    shared = hashed.groupBy("key").agg(F.count("*").alias("c"), F.min("h").alias("least")).where("c > 1")
-    met = scratch.keep(hashed.join(shared, "key"), "met")
-    few, many = met.where(F.col("c") <= how.crowd), met.where(F.col("c") > how.crowd)
-    lead = many.where("h = least").groupBy("key").agg(F.min("rep").alias("lead"))
-    star = many.join(lead, "key").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-    first = scratch.keep(_small_key_pairs(few, percent).union(star).distinct(), "first")
-    links = _confirmed(first, texts, how, percent, scratch, "first")
-    member = connected_components(links, scratch, "stars")
-
-    if not many.isEmpty():
-        comp = member.withColumnRenamed("id", "rep")
-        rows = many.select("key", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-        crowd = scratch.keep(rows.join(mixed, "key", "left_semi").select("rep", "comp").distinct(), "crowd")
-        apart = signatures(texts.join(crowd.select(F.col("rep").alias("id")), "id", "left_semi"), "id", "text", how.longer())
-        apart = chunk_keys(apart.select(F.col("id").alias("rep"), "n", "sig"), how.longer(), True).join(crowd, "rep")
-        apart = scratch.keep(apart, "apart")
-        main = apart.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-        out = apart.join(main, "key").where("comp <> m.comp").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("left").alias("lx"))
-        pairs = out.join(apart, "key").where("x <> rep and cx <> comp and (lx <> left or place = 0) and " + _near_sizes("nx", "n", percent))
-        second = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        links = links.union(_confirmed(second, texts, how, percent, scratch, "second"))
-        scratch.drop("apart")
-        member = connected_components(links, scratch, "all")
-
-    of = classes.select("f1", "f2", "n", "rep").join(member.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    ids = sigs.select("id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left")
-    ids = ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return ids.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    _, maybe = split_by(texts, ids)
+    sets = scratch.keep(_sets(maybe.join(ids, "id", "left_semi"), how).where("length(s) > 0"), "sets")
+    scratch.drop("ids")
+    links = scratch.keep(_confirmed(pairs, sets, percent, scratch, block_bytes), "links")
+    for name in ("pairs", "places", "dealt"):
+        scratch.drop(name)
+    # Documents with one id and several texts are one document.
+    several = rows.where("rep is not null and id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    several = rows.join(several.where("a < b").select("id", "a"), "id").select("a", F.col("rep").alias("b"))
+    member = connected_components(links.union(several), scratch, "first")
+
+    cells = scratch.keep(_cells(crowd, member, sets, scratch, block_bytes), "cells")
+    scratch.drop("met")
+    more = scratch.keep(_joined(cells, sets, percent), "more")
+    for name in ("own", "outside", "cells", "sets"):
+        scratch.drop(name)
+    if not more.isEmpty():
+        joined = member.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+        member = connected_components(joined, scratch, "all")
+    out = rows.join(member.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    out = scratch.keep(out, "result")
+    scratch.drop_all_but("result")
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

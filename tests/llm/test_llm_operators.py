@@ -62,7 +62,7 @@ def test_near_duplicates_in_a_crowd(spark):
         for k in r.choice(60, 1 + i % 4, replace=False):
             w[k] = f"w{r.integers(50)}"
         rows.append((i, " ".join(w), "en", "s", 0))
-    got = minhash_dedup.near_duplicates(table(spark, rows), how=minhash_dedup.Signature(crowd=8))
+    got = minhash_dedup.near_duplicates(table(spark, rows), how=minhash_dedup.Signature(local=8), block_bytes=2000)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute_components(rows)
 
 
