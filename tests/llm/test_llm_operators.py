@@ -158,11 +158,11 @@ def test_sharding(spark):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    rows = [*documents(), (None, "no id", None, None, None), (800, "a \n \n b  ", None, None, None), (801, "<|endoftext|> it's", None, None, None)]
+    rows = [*documents(), (None, "no id", None, None, None), (800, "a \n \n b  ", None, None, None), (801, "<|endoftext|> it's", None, None, None), (802, "a <|endoftext|> b<|endoftext|>", None, None, None)]
     encode = Tokenizer.from_file(VOCABULARY)
-    encode.encode_special_tokens = True
     want = {i: np.array([*encode.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t, *_ in rows}
-    got = packing.pack(table(spark, rows), VOCABULARY, size=256, max_open=4).collect()
+    clash = table(spark, rows).withColumn("start", F.lit("clash")).withColumn("ids", F.lit(1)).withColumn("offset", F.lit(2))
+    got = packing.pack(clash, VOCABULARY, size=256, max_open=4).collect()
     seen, fill = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         assert bytes(r.ids) == want[r.doc_id][r.start : r.start + r.length].tobytes() and r.doc_tokens == len(want[r.doc_id])
@@ -297,6 +297,7 @@ def test_license_join_is_exact():
 def test_urls(spark):
     rows = [
         (1, "HTTP://WWW.Example.COM/en/1?q"), (2, "https://x.example.com/en/"), (3, "https://example.com/de"), (4, "https://notexample.com/en/"), (5, None), (6, "no scheme"), (7, "https://a.net/es/x#y"), (8, "https://net/fr/"), (9, "https://spam-farm.org/"),
+        (14, "http://a b.example.com/en/x"), (15, "http://a\nb.example.com/en/\nx"), (16, "https://casino/"), (17, "https://a.org/CASINO.html"), (18, "https://" + "x" * 70000 + ".net/fr/" + "y" * 70000),
         (10, "https://a.net"), (11, "a://b://c.com/"), (12, ""), (1, "HTTP://WWW.Example.COM/en/1?q"), (13, "https://example.com:80/en/"),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(1))
@@ -311,6 +312,11 @@ def test_urls(spark):
         want[i, host, path, fit[1] if fit else None, verdict] += 1
     assert got == want
     assert url_filter.filter_urls(df.limit(0)).count() == 0
+    rules = [url_filter.UrlRule("any", "block", r"/e?n/", (), 5), url_filter.place_rule("example.com", "allow")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    assert got[2] == ("example.com", "allow") and got[4] == ("any", "block") and got[13] == ("any", "block") and got[5] == (None, "allow")
+    rare = url_filter.rarest_tokens(spark.createDataFrame([("a.net", "/b"), ("a.net", "/c")], "host string, path string"), [url_filter.UrlRule("r", "block", "b", ("net", "b"), 1)])
+    assert rare == {"b": [0]}
 
 
 def test_quality_rules(spark):
