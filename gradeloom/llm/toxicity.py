@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words of a clause become classes (insult, threat, target, negation, report, other). Small transducers rewrite the class
-sequence one after another: negation softens what follows it closely, reported speech marks what follows a verb of saying,
-a target strengthens its clause. They are composed once into a single deterministic machine that yields the clause's
-weight; the strength of each insult comes from labelled documents. A document's score is a logistic function of its matched
-clauses and its length, fitted on the same labelled documents.
+Words of a clause become classes (insult, threat, target, negation, report, intent, other). Small weighted transducers rewrite the
+class sequence one after another. One reads from right to left and marks insults and threats with a target close behind them.
+The others read from left to right: negation softens what follows it closely, reported speech marks what follows a verb of
+saying, the insult machine raises what has a target before or behind it, the threat machine tells a bare verb, one with a target
+before it, one said with intent and one aimed at somebody, alone or with intent. The latter four are composed once into a single
+deterministic machine, and the two directions together yield the clause's weight. The strength of each insult comes from labelled
+documents. A document's score is a logistic function of its matched clauses and its length, fitted on the same labelled documents.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "p
 THREATS = ("kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "crush")
 TARGETS = ("you", "your", "yours", "yourself", "he", "she", "they", "them", "him", "her")
 NEGATIONS = ("not", "never", "no", "isn", "aren", "don", "nobody", "without", "hardly")
+INTENTS = ("will", "gonna", "going", "shall", "must", "should", "want", "let", "ll")
 REPORTS = ("said", "says", "called", "wrote", "claimed", "quoted", "reported", "alleged")
 CLAUSE_ENDS = b".!?;:\n"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-MILD = 6  # an insult or threat that is negated
-SAID = 7  # an insult or threat in reported speech
-HIT = 8  # an insult or threat as such
-CLASSES = 9
-STRONG = 5.0  # weight of a word that sets a document apart by itself
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = range(7)
+INSULT_AT, THREAT_AT = 7, 8  # with a target close behind
+MILD = 9  # an insult or threat that is negated
+SAID = 10  # an insult or threat in reported speech
+HIT = 11  # an insult or threat as such
+CLASSES = 12
+HITS = (INSULT, THREAT, INSULT_AT, THREAT_AT)
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(97, 123), *range(0x80, 0x100)]] = False
@@ -68,34 +72,65 @@ class Transducer:
         return out
 
 
+def behind_machine(reach: int = 3) -> Transducer:
+    """Read from right to left: marks an insult or threat with a target at most `reach` words behind it."""
+    arcs: list[dict[int, tuple[int, float, int]]] = [{TARGET: (TARGET, 1.0, 1)}]
+    for k in range(1, reach + 1):
+        after = k + 1 if k < reach else 0
+        arcs.append({s: (s, 1.0, after) for s in range(CLASSES)} | {INSULT: (INSULT_AT, 1.0, after), THREAT: (THREAT_AT, 1.0, after), TARGET: (TARGET, 1.0, 1)})
+    return Transducer(arcs)
+
+
 def negation_machine(reach: int = 3, factor: float = 0.4) -> Transducer:
-    """Softens an insult or threat within `reach` words after a negation."""
-    free: dict[int, tuple[int, float, int]] = {NEGATION: (NEGATION, 1.0, 1)}
-    arcs = [free]
+    """Softens every insult and threat within `reach` words after a negation."""
+    arcs: list[dict[int, tuple[int, float, int]]] = [{NEGATION: (NEGATION, 1.0, 1)}]
     for k in range(1, reach + 1):
         after = k + 1 if k < reach else 0
-        arcs.append({s: (s, 1.0, after) for s in range(CLASSES)} | {INSULT: (MILD, factor, 0), THREAT: (MILD, factor, 0), NEGATION: (NEGATION, 1.0, 1)})
+        arcs.append({s: (s, 1.0, after) for s in range(CLASSES)} | {s: (MILD, factor, after) for s in HITS} | {NEGATION: (NEGATION, 1.0, 1)})
     return Transducer(arcs)
 
 
 def report_machine(reach: int = 6, factor: float = 0.6) -> Transducer:
-    """Marks an insult or threat within `reach` words after a verb of saying."""
+    """Marks insults and threats within `reach` words after a verb of saying."""
     arcs: list[dict[int, tuple[int, float, int]]] = [{REPORT: (REPORT, 1.0, 1)}]
     for k in range(1, reach + 1):
         after = k + 1 if k < reach else 0
-        arcs.append({s: (s, 1.0, after) for s in range(CLASSES)} | {INSULT: (SAID, factor, after), THREAT: (SAID, factor, after), REPORT: (REPORT, 1.0, 1)})
+        arcs.append({s: (s, 1.0, after) for s in range(CLASSES)} | {s: (SAID, factor, after) for s in HITS} | {REPORT: (REPORT, 1.0, 1)})
     return Transducer(arcs)
 
 
-def target_machine(factor: float = 1.25) -> Transducer:
-    """Strengthens insults and threats that follow a target in their clause; what is left over becomes a plain hit."""
-    plain = {INSULT: (HIT, 1.0, 0), THREAT: (HIT, 0.3, 0), TARGET: (TARGET, 1.0, 1)}
-    aimed = {INSULT: (HIT, factor, 1), THREAT: (HIT, factor, 1), MILD: (MILD, factor, 1), SAID: (SAID, factor, 1)}
-    return Transducer([plain, aimed])
+def insult_machine(aimed: float = 1.25) -> Transducer:
+    """Insults become hits, raised by a target before them in the clause or close behind them."""
+    plain = {INSULT: (HIT, 1.0, 0), INSULT_AT: (HIT, aimed, 0), TARGET: (TARGET, 1.0, 1)}
+    after = {INSULT: (HIT, aimed, 1), INSULT_AT: (HIT, aimed, 1), MILD: (MILD, aimed, 1), SAID: (SAID, aimed, 1)}
+    return Transducer([plain, after])
+
+
+def threat_machine(bare: float = 0.3, told: float = 0.5, meant: float = 0.8, aimed: float = 1.25, sworn: float = 2.0) -> Transducer:
+    """Threats become hits: bare, after a target, after a verb of intent, with a target behind, or with both of the latter."""
+    by_state = (bare, told, meant)  # nothing, a target or a verb of intent before it in the clause
+    arcs = []
+    for state, factor in enumerate(by_state):
+        arcs.append({THREAT: (HIT, factor, state), THREAT_AT: (HIT, sworn if state == 2 else aimed, state), TARGET: (TARGET, 1.0, max(state, 1)), INTENT: (INTENT, 1.0, 2)})
+    return Transducer(arcs)
 
 
 def grammar() -> Transducer:
-    return negation_machine().then(report_machine()).then(target_machine())
+    """The machine that reads from left to right; behind_machine() goes before it."""
+    return negation_machine().then(report_machine()).then(insult_machine()).then(threat_machine())
+
+
+def clause_factors(kinds: list[int], behind: Transducer, machine: Transducer) -> list[float]:
+    """The factor of each word of a clause, given the words' classes: read backwards, then forwards."""
+    state, marked = 0, []
+    for kind in reversed(kinds):
+        out, _, state = behind.step(state, kind)
+        marked.append(out)
+    state, factors = 0, []
+    for kind in reversed(marked):
+        _, factor, state = machine.step(state, kind)
+        factors.append(factor)
+    return factors
 
 
 class Lexicon:
@@ -103,7 +138,7 @@ class Lexicon:
 
     def __init__(self, strengths: dict[str, float], threat: float = 2.0):
         self.words: dict[bytes, tuple[int, float]] = {}
-        for names, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for names, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT)):
             self.words.update({w.encode(): (kind, 0.0) for w in names})
         self.starts: dict[bytes, float] = {}
         hits = {w.encode(): (THREAT, threat) for w in THREATS}
@@ -130,8 +165,8 @@ class Lexicon:
 
 
 def clause_scores(column, lexicon: Lexicon, machine: Transducer):
-    """For a string column: per row its word count, matched clauses, total weight and greatest weight of a word."""
-    n = len(column)
+    """For a string column: per row its word count, matched clauses, the sum and the greatest of the clauses' weights."""
+    n, behind = len(column), behind_machine()
     counts, clauses, total, top = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     for a, b in X.row_blocks(column):
         data, offsets = X.utf8(pc.utf8_lower(column.slice(a, b - a)))
@@ -157,23 +192,21 @@ def clause_scores(column, lexicon: Lexicon, machine: Transducer):
             low = max(int(stops[at - 1]) if at else 0, int(offsets[row]))
             high = min(int(stops[at]) if at < len(stops) else len(data), int(offsets[row + 1]))
             first, done = int(np.searchsorted(starts, low)), int(np.searchsorted(starts, high))
-            state, weight = 0, 0.0
-            for j in range(first, done):
-                word = data[starts[j] : ends[j]].tobytes()
-                kind, strength = lexicon.look(word)
-                _, factor, state = machine.step(state, kind)
-                if strength:  # a word said again adds less each time
+            words = [data[starts[j] : ends[j]].tobytes() for j in range(first, done)]
+            found, weight = [lexicon.look(w) for w in words], 0.0
+            for word, (_, strength), factor in zip(words, found, clause_factors([k for k, _ in found], behind, machine), strict=True):
+                if strength:  # a word said again in the document adds less each time
                     seen[word] = seen.get(word, 0) + 1
                     weight += strength * factor / seen[word]
-                    top[a + row] = max(top[a + row], strength * factor)
             clauses[a + row] += 1
             total[a + row] += weight
+            top[a + row] = max(top[a + row], weight)
     return counts, clauses, total, top
 
 
 def _figures(counts, clauses, total, top) -> np.ndarray:
     size = np.maximum(counts, 1)
-    return np.stack([np.ones(len(size)), np.log1p(total), np.log1p(100 * total / size), top >= STRONG, np.log1p(counts), np.log1p(clauses)], 1)
+    return np.stack([np.ones(len(size)), np.log1p(total), np.log1p(100 * total / size), np.minimum(top, 6.0) / 2, np.log1p(counts), np.log1p(clauses)], 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -200,8 +233,8 @@ class ToxicityModel:
 
 
 def held_out(id_col: str) -> Column:
-    """Rows that labels are never learnt from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Rows that labels are never learnt from: crc32 of the id as text, modulo 5, is 0. A null id counts as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, max_rows: int, scratch: Scratch, name: str) -> DataFrame:
@@ -299,8 +332,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, then toxicity (0 to 1) and toxic_clauses (matched clauses).
 
-    A null or empty text has no clauses and the score of a document without matches. Repeated rows are scored each; an
-    empty table gives an empty one; columns of the new names are replaced.
+    A null or empty text has no clauses and the score of a document without matches. Repeated rows are scored each; texts of any
+    length are read whole, in blocks of a few MB; an empty table gives an empty one; columns of the new names are replaced.
     """
     small_batches(docs.sparkSession)
     added = ["toxicity", "toxic_clauses"]
