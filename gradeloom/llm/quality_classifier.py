@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import _text as X
@@ -113,10 +114,23 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 5000, least_docs: int = 5, cost: float = 1.0, lexical: bool = True) -> QualityModel:
-    """Fit on at most `max_rows` labelled documents outside the held-out fold; only their feature numbers reach the driver.
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int, least_docs: int) -> np.ndarray:
+    """Of each feature: log of its smoothed share of the features of class 1 over that of class 0, less the median; 0 below `least_docs` documents."""
+    counts = np.zeros((2, size))
+    for v, k in zip(rows, y.astype(int), strict=True):
+        counts[k, v] += 1
+    used = counts.sum(0) >= least_docs
+    ratio = np.where(used, np.log((counts[1] + 1) / (counts[1].sum() + size)) - np.log((counts[0] + 1) / (counts[0].sum() + size)), 0.0)
+    if used.any():
+        ratio[used] -= np.median(ratio[used])
+    return ratio
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 5000, max_features: int = 20_000_000, least_docs: int = 5, cost: float = 1.0, lexical: bool = True) -> QualityModel:
+    """Fit on at most `max_rows` labelled documents outside the held-out fold; only their feature numbers reach the driver, at most
+    `max_features` over all documents (4 bytes each) or those of one: further documents, in the order of a hash, are left out.
 
-    Features in fewer than `least_docs` of them are ignored. A class that does not occur leaves a constant score: the share of
+    Log-count ratios and weights come from four fifths of these documents, the score's curve from the rest. Features in fewer than `least_docs` of them are ignored. A class that does not occur leaves a constant score: the share of
     label 1, or 0.5 without labels.
     """
     spark = docs.sparkSession
@@ -130,23 +144,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 at = X.bounds(rows, n).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.ListArray.from_arrays(pa.array(at), pa.array(found.astype(np.int32)))], names=["y", "x"])
 
-    table = sample.mapInArrow(work, "y int, x array<int>").toArrow()
+    found = Scratch(spark, "quality").keep(sample.mapInArrow(work, "y int, x array<int>").withColumn("h", F.xxhash64("x", "y")), "features")
+    so_far = F.sum(F.size("x")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))  # max_rows rows at most
+    table = found.select("y", "x", F.coalesce(so_far, F.lit(0)).alias("before"), F.size("x").alias("n")).where(f"before = 0 or before + n <= {max_features}").select("y", "x").toArrow()
     y = table["y"].to_numpy().astype(float)
     x = [np.asarray(v, np.int64) for v in table["x"].to_numpy()] if len(y) else []
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1)
         return QualityModel(np.zeros(SIZE), 0.0, (float(np.log(share / (1 - share))), 0.0), lexical)
-    counts = np.zeros((2, SIZE))
-    for v, k in zip(x, y.astype(int), strict=True):
-        counts[k, v] += 1
-    used = counts.sum(0) >= least_docs
-    ratio = np.where(used, np.log((counts[1] + 1) / (counts[1].sum() + SIZE)) - np.log((counts[0] + 1) / (counts[0].sum() + SIZE)), 0.0)
-    ratio[used] -= np.median(ratio[used])
     aside = np.arange(len(y)) % 5 == 4
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * cost
+    if not 0 < y[~aside].sum() < (~aside).sum():
+        aside[:] = False
     fit = np.flatnonzero(~aside)
+    ratio = log_count_ratios([x[i] for i in fit], y[fit], SIZE, least_docs)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * cost
     w, bias = dual_coordinate_descent([x[i] for i in fit], ratio, 2 * y[fit] - 1, weight[fit])
     model = QualityModel(ratio * w, bias, (0.0, 1.0), lexical)
+    aside = aside if aside.any() else ~aside  # too few documents to set some aside
     margin = np.array([model.weights[x[i]].sum() / np.sqrt(max(len(x[i]), 1)) + bias for i in np.flatnonzero(aside)])
     curve = fit_logistic(np.stack([np.ones(len(margin)), margin], 1), y[aside], ridge=0.1)
     return QualityModel(model.weights, bias, (float(curve[0]), float(max(curve[1], 0.1))), lexical)
@@ -155,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, then quality_score (0 to 1, higher: label 1 likelier).
 
-    A null or empty text has no features and the score of the bias alone. Repeated rows are scored each; an empty table gives
-    an empty one; a column quality_score is replaced.
+    A null or empty text has no features and the score of the bias alone. Repeated rows are scored each; texts of any length are
+    read whole, in blocks of a few MB; an empty table gives an empty one; a column quality_score is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
