@@ -135,6 +135,49 @@ def brute_table(shards, size):
     return [table[i] for i in range(size)]
 
 
+def test_mixing_against_plain_version(spark):
+    import xxhash
+
+    names = ["en", "de"]
+    texts = {"en": "the river and the stone", "de": "der Fluss und der Stein"}
+    rows = [(i, " ".join([texts[names[i % 2]]] * (1 + i % 3) + (["stone"] if i % 5 == 0 else [])), names[i % 2], None, None) for i in range(40)]
+    rows += [(3, rows[3][1], "de", None, None), (100, None, None, None, None), (101, " \n", "en", None, None), (102, "the " * 500, None, None, None)]
+    docs = table(spark, rows).withColumn("mix_rate", F.lit("clash")).withColumn("mix_copies", F.lit("clash"))
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).where("doc_id < 30").distinct()
+    targets = {"en": 0.7, "de": 0.3}
+    got, fit = mixing.mix_to_targets(docs, labelled, targets)
+    bucket = lambda w: int(np.int64(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)))) % mixing.BUCKETS
+    words = lambda t: (t or "").lower().split()
+    counts = {d: collections.Counter() for d in names}
+    for i, t, d, *_ in rows:
+        if i < 30:
+            counts[d].update(map(bucket, words(t)))
+    log = {d: (lambda b, d=d: float(f"{math.log((counts[d][b] + 0.5) / (sum(counts[d].values()) + 0.5 * mixing.BUCKETS)):.3f}")) for d in names}
+    tokens, posterior = [], []
+    for _, t, *_ in rows:
+        w = words(t)
+        s = np.array([sum(log[d](bucket(x)) for x in w) for d in names]) * (min(len(w), 20) / max(len(w), 1))
+        e = np.exp(s - s.max())
+        tokens.append(len(w))
+        posterior.append(e / e.sum())
+    tokens, posterior = np.array(tokens, float), np.array(posterior)
+    want = np.array([0.7, 0.3]) * tokens.sum()
+    rate = np.ones(len(rows))
+    for _ in range(2000):  # projected gradient with a small step
+        error = want - (rate * tokens) @ posterior
+        rate = np.where(tokens > 0, np.maximum(0, rate + posterior @ error / (tokens.sum() * 4)), 1.0)
+    out = got.collect()
+    seen = collections.defaultdict(list)
+    for i, (r, *_rest) in enumerate(rows):
+        seen[r].append((int(tokens[i]), posterior[i]))
+    for r in out:
+        n, p = seen[r.doc_id][0]
+        assert r.mix_tokens == n and np.allclose(r.mix_posterior, p, atol=1e-9) and r.mix_copies in (math.floor(r.mix_rate), math.floor(r.mix_rate) + 1)
+    assert len(out) == len(rows) and len({r.mix_copies for r in out if r.doc_id == 3}) == 1
+    reached = sum(r.mix_rate * r.mix_tokens * np.array(r.mix_posterior) for r in out)
+    assert np.allclose(reached, want, rtol=1e-3) and np.allclose((rate * tokens) @ posterior, want, rtol=1e-3) and np.allclose(np.array(fit.reached) * tokens.sum(), want, rtol=1e-3)
+
+
 def test_sharding(spark):
     shards = [f"s{i}" for i in range(7)]
     filled = sharding.fill_table(shards, 101)
@@ -357,6 +400,54 @@ def test_quality_classifier(spark):
     assert {r.quality_score for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
 
 
+def plain_features(text):
+    """The features of a text, worked out word by word."""
+    top = 1 << 64
+
+    def mix(x):
+        return int(X.mix(np.array([x % top], X.U))[0])
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    hashes = [int(X.words(*X.utf8(__import__("pyarrow").array([w])))[0][0]) for w in words]
+    shapes = []
+    for i, w in enumerate(words):
+        b = w.encode()
+        kind = [quality_classifier._KIND[c] for c in b]
+        lower, upper = kind.count(0), kind.count(1)
+        n = 0 if not upper else 1 if lower else 2 if upper == 1 else 3
+        for more, base in ((kind.count(2) > 0, 2), (min(kind.count(3), 3), 4), (min(kind.count(4), 3), 4), (kind.count(5) > 0, 2), (1 + sorted(b".,;:!?").index(b[-1]) if b[-1] in b".,;:!?" else 0, 8), (sum(len(b) >= x for x in (2, 9, 20)), 4), (i > 0 and hashes[i] == hashes[i - 1], 2)):
+            n = n * base + int(more)
+        shapes.append(mix(n))
+    out = set()
+    for seq, sizes, bits, base in ((shapes, (1, 2, 3), quality_classifier.SHAPE_BITS, 0), (hashes, (1, 2), quality_classifier.WORD_BITS, 1 << quality_classifier.SHAPE_BITS)):
+        for n in sizes:
+            for i in range(len(seq) - n + 1):
+                out.add(base + (mix(sum(h * int(X._COEF[k]) for k, h in enumerate(seq[i : i + n]))) >> (64 - bits)))
+    return out
+
+
+def test_quality_features_ratios_and_margins():
+    import pyarrow as pa
+
+    texts = ["One two, two two THREE! 4ever $$$ (x) " + "q" * 25, "", None, "é. É Aa AA a9;", prose(3, 40)]
+    found = {i: set() for i in range(len(texts))}
+    for a, _, rows, values in quality_classifier.features(pa.array(texts)):
+        for r, v in zip(rows.tolist(), values.tolist(), strict=True):
+            found[a + r].add(v)
+    want = {i: plain_features(t or "") for i, t in enumerate(texts)}
+    assert found == want
+    rows, y = [np.array(sorted(want[i]), np.int64) for i in range(len(texts))], np.array([1, 0, 0, 1, 0])
+    ratio, size = quality_classifier.log_count_ratios(rows, y, quality_classifier.SIZE, 1), quality_classifier.SIZE
+    good, bad = collections.Counter(f for i in (0, 3) for f in want[i]), collections.Counter(f for i in (1, 2, 4) for f in want[i])
+    plain = {f: math.log((good[f] + 1) / (sum(good.values()) + size)) - math.log((bad[f] + 1) / (sum(bad.values()) + size)) for f in good | bad}
+    middle = float(np.median(list(plain.values())))
+    assert all(math.isclose(ratio[f], v - middle, abs_tol=1e-9) for f, v in plain.items()) and np.count_nonzero(ratio) <= len(plain)
+    model = quality_classifier.QualityModel(ratio, 0.25, (0.5, 2.0))
+    for margin, score, f in zip(model.margins(pa.array(texts)), model.scores(pa.array(texts)), rows, strict=True):
+        m = sum(ratio[v] for v in f) / math.sqrt(max(len(f), 1)) + 0.25
+        assert math.isclose(margin, m, abs_tol=1e-9) and math.isclose(score, 1 / (1 + math.exp(-0.5 - 2 * m)), abs_tol=1e-9)
+
+
 def test_dual_coordinate_descent_solves_its_problem():
     r = np.random.default_rng(0)
     rows = [np.flatnonzero(r.random(12) < 0.4) for _ in range(40)]
@@ -389,15 +480,61 @@ def test_toxicity(spark):
     assert len(toxicity.score_toxicity(empty(spark), plain).collect()) == 0
 
 
+def plain_weights(text, strengths):
+    """(clauses, sum, greatest weight of a clause) by the grammar's rules, said without machines."""
+    clauses, weights, seen = 0, [], collections.Counter()
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        kinds = []
+        for w in words:
+            names = ((toxicity.THREATS, "threat"), (toxicity.TARGETS, "target"), (toxicity.NEGATIONS, "not"), (toxicity.REPORTS, "said"), (toxicity.INTENTS, "will"))
+            kinds.append("insult" if w in strengths else next((k for v, k in names if w in v), ""))
+        weight, hit = 0.0, False
+        for i, (w, k) in enumerate(zip(words, kinds)):
+            if k not in ("insult", "threat"):
+                continue
+            hit = True
+            before, behind = kinds[:i], "target" in kinds[i + 1 : i + 4]
+            soft = next((x for x in range(1, 4) if i >= x and kinds[i - x] == "not"), None) is not None
+            told = any(i >= x and kinds[i - x] == "said" for x in range(1, 7))
+            if soft or told:
+                factor = 0.4 if soft else 0.6
+                factor *= 1.25 if "target" in before else 1.0
+            elif k == "insult":
+                factor = 1.25 if "target" in before or behind else 1.0
+            else:
+                meant = "will" in before
+                factor = (2.0 if meant else 1.25) if behind else 0.8 if meant else 0.5 if "target" in before else 0.3
+            seen[w] += 1
+            weight += (strengths.get(w) or 2.0) * factor / seen[w]
+        if hit:
+            clauses += 1
+            weights.append(weight)
+    return clauses, sum(weights), max(weights, default=0.0)
+
+
 def test_grammar():
     import pyarrow as pa
 
     lexicon, machine = toxicity.Lexicon({"idiot": 6.0, "gro*": 4.0}), toxicity.grammar()
-    texts = ["he is idiot", "idiot", "not an idiot", "she said idiot", "will kill", "you kill", "fine words", None, "grob", "idiot. idiot", "not here. idiot"]
+    texts = ["he is idiot", "idiot", "not an idiot", "she said idiot", "will kill", "you kill", "fine words", None, "grob", "idiot. idiot", "not here. idiot", "I will kill you", "you kill time", "idiots like you", "idiot like you", "kill you", "kill"]
     counts, clauses, total, top = toxicity.clause_scores(pa.array(texts), lexicon, machine)
     assert total[0] > total[1] > total[3] > 0 and total[1] > total[2] > 0
-    assert total[5] > total[4] > 0 and total[6] == total[7] == 0 and total[8] == 4.0
-    assert clauses[9] == 2 and total[9] < 2 * total[1] and total[10] == total[1] and counts[0] == 3
+    assert total[6] == total[7] == 0 and total[8] == 4.0 and clauses[9] == 2 and total[9] < 2 * total[1] and total[10] == total[1] and counts[0] == 3
+    assert total[11] > total[15] > total[4] > total[12] == total[5] > total[16] > 0 and total[14] > total[1]
+
+
+def test_grammar_against_plain_rules():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    pool = ["idiot", "scum", "kill", "hurt", "you", "them", "not", "never", "said", "called", "will", "gonna", "the", "tree", "walks", "."]
+    texts = [" ".join(r.choice(pool, r.integers(1, 14))) for _ in range(1500)] + [None, "", "idiot"]
+    strengths = {"idiot": 6.0, "scum": 3.5}
+    counts, clauses, total, top = toxicity.clause_scores(pa.array(texts), toxicity.Lexicon(strengths), toxicity.grammar())
+    for i, t in enumerate(texts):
+        n, whole, most = plain_weights(t, strengths)
+        assert clauses[i] == n and math.isclose(total[i], whole, abs_tol=1e-9) and math.isclose(top[i], most, abs_tol=1e-9), t
 
 
 def test_spread_over_the_driver_tables(spark):
