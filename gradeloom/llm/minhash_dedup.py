@@ -120,8 +120,8 @@ def filed(classes: DataFrame, how: Signature, block: int = 4096) -> DataFrame:
 
 
 def meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """What is under the same key: (null, a, b) for documents next or next but one to each other by size, and (key, rep, null) for
-    every document of a key with more than three, whose other pairs are still to be looked at.
+    """What is under the same key: (null, a, b) for documents next to each other by size, all pairs where a key has up to three, and
+    (key, rep, null) for every document of a key with more, whose other pairs are still to be looked at.
 
     Streams over sorted rows; no run is held.
     """
@@ -152,6 +152,7 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
             if count > s:
                 i = np.flatnonzero(same(s) & (100 * n[:-s] >= percent * n[s:]) & (rep[:-s] != rep[s:]))
                 i = i[(i >= done) & (i < upto)]
+                i = i if s == 1 else i[~crowded[i]]
                 a.append(np.minimum(rep[i], rep[i + s]))
                 b.append(np.maximum(rep[i], rep[i + s]))
         left = np.flatnonzero(crowded & ~extra)
@@ -170,15 +171,44 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(work, "key long, a long, b long")
 
 
-def _sets(docs: DataFrame, how: Signature) -> DataFrame:
-    """(id, s): the sorted 64-bit shingle hashes of each document, as bytes."""
+def _dealt_sets(texts: DataFrame, calls: DataFrame, how: Signature) -> DataFrame:
+    """(cell, kind, id, comp, s): the sorted 64-bit shingle hashes of each document, as bytes, in each of its cells.
+
+    `calls` has id and a bounded list `calls` of struct<base, blocks, mode, comp>: of `blocks` cells of `base`, mode 0 asks for the
+    document's own one, mode 2 for all, as a visitor, and mode 1 for both. kind is 0 for a document that is at home in a cell, 1
+    for one that also visits it and 2 for a visitor. Texts are shuffled once, with their lists; a set is made in the task that
+    deals it out.
+    """
+    names = ["cell", "kind", "id", "comp", "s"]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        cell, kind, one, comp, s = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(kind, pa.int32()), pa.array(one, pa.int64()), pa.array(comp, pa.int64()), pa.array(s, pa.binary())], names=names)
 
     def work(batches):
+        out, held = [], 0
         for batch in batches:
-            sets = [s.tobytes() for s in X.shingle_sets(batch.column(1), how.shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+            for one, asked, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), X.shingle_sets(batch.column(1), how.shingle), strict=True):
+                if not len(s):
+                    continue
+                data, h = s.tobytes(), int(X.mix(np.array([one], np.int64).view(U))[0])
+                for call in asked:
+                    own = h % call["blocks"]
+                    for k in range(call["blocks"]) if call["mode"] else (own,):
+                        cell = X.mix(np.array([call["base"]], np.int64).view(U) + U(k) * U(0x9E3779B97F4A7C15))
+                        out.append((int(cell.view(np.int64)[0]), call["mode"] if k == own else 2, one, call["comp"], data))
+                        held += len(data)
+                        if held > 4 << 20:
+                            yield table(out)
+                            out, held = [], 0
+        if out:
+            yield table(out)
+
+    _, maybe = split_by(texts, calls.select("id"))
+    return maybe.join(calls, "id").select("id", "text", "calls").mapInArrow(work, "cell long, kind int, id long, comp long, s binary")
 
-    return docs.select("id", "text").mapInArrow(work, "id long, s binary")
+
+CALL = "array<struct<base:bigint,blocks:int,mode:int,comp:bigint>>"
 
 
 class _Forest:
@@ -204,7 +234,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, part_bytes: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, how: Signature, percent: int, scratch: Scratch, part_bytes: int) -> DataFrame:
     """Links among `pairs` by their full shingle sets: enough of them that their components are those of all links.
 
     A document is labelled with the smallest id among itself and its partners, so that a group of copies mostly has one label. A
@@ -214,15 +244,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     """
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     label = ends.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("label"))
-    sized = sets.groupBy("id").agg(F.sum(F.length("s")).alias("size")).join(label, "id")
+    sized = scratch.keep(label.join(sizes, "id"), "sized")
     parts = sized.groupBy("label").agg(F.ceil(F.sum("size") / F.lit(float(part_bytes))).cast("long").alias("parts")).where("parts > 1")
     split = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
     place = scratch.keep(sized.join(parts, "label", "left").select("id", F.xxhash64("label", split).alias("part")), "places")
     dealt = pairs.join(place.select(F.col("id").alias("a"), F.col("part").alias("p")), "a").join(place.select(F.col("id").alias("b"), F.col("part").alias("q")), "b")
-    dealt = scratch.keep(dealt.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("cell"), "a", "b"), "dealt")
-    wanted = dealt.select("cell", F.col("a").alias("id")).union(dealt.select("cell", "b")).distinct()
-    held = wanted.join(sets, "id").select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "s")
-    rows = held.union(dealt.select("cell", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+    dealt = scratch.keep(dealt.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("base"), "a", "b"), "dealt")
+    call = F.struct("base", F.lit(1).alias("blocks"), F.lit(0).alias("mode"), F.lit(0).cast("long").alias("comp"))
+    calls = dealt.select(F.col("a").alias("id"), "base").union(dealt.select("b", "base")).groupBy("id").agg(F.collect_set(call).cast(CALL).alias("calls"))  # as many as neighbours
+    held = _dealt_sets(texts, scratch.keep(calls, "calls"), how).select("cell", "kind", F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "s")
+
+    def named(batches):  # as _dealt_sets() names the only cell of a base
+        for batch in batches:
+            cell = X.mix(batch.column(0).to_numpy().view(U))
+            yield pa.RecordBatch.from_arrays([_signed(cell), pa.array(np.ones(len(cell), np.int32)), batch.column(1), batch.column(2), pa.nulls(len(cell), pa.binary())], names=["cell", "kind", "a", "b", "s"])
+
+    rows = held.union(dealt.mapInArrow(named, "cell long, kind int, a long, b long, s binary"))
 
     def work(batches):
         cell, known, forest = None, {}, _Forest()
@@ -251,78 +288,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     return rows.repartition("cell").sortWithinPartitions("cell", "kind", "a", "b").mapInArrow(work, "a long, b long")
 
 
-def _cells(crowd: DataFrame, member: DataFrame, sets: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
-    """(cell, kind, id, comp): blocks of documents (kind 0) and those that visit them (kind 1), for all that meets under a key of
-    `crowd` in different components.
+def _visits(crowd: DataFrame, member: DataFrame, sizes: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+    """(id, calls): the cells in which each document of `crowd` is at home or visits, so that all that meets under a key in different
+    components meets in a cell.
 
     Under a key, the documents outside its largest component visit the blocks of that component's documents, once for all keys
     that say so; and if they are of several components themselves, the blocks of each other, once for all keys with the same
     documents. A block holds about `block_bytes`.
     """
-    sized = sets.groupBy("id").agg(F.sum(F.length("s")).alias("size"))
     own = crowd.groupBy("rep").agg(F.collect_list("key").alias("keys")).withColumnRenamed("rep", "id")  # at most one key a place of the signature
-    own = scratch.keep(own.join(sized, "id").join(member, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "own")
+    own = scratch.keep(own.join(sizes, "id").join(member, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "own")
     rows = own.select(F.explode("keys").alias("key"), "id", "comp", "size")
     parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"), "comps")
     out = scratch.keep(rows.join(main, "key").where("comp <> main"), "outside")
 
     bound = F.lit(float(block_bytes))
-    visits = out.select("id", "comp", "main").distinct()
-    homes = visits.select("main").distinct()
-    inside = own.join(homes.withColumnRenamed("main", "comp"), "comp", "left_semi").select("id", "comp", "size")
+    guests = out.select("id", "comp", "main").distinct()
+    inside = own.join(guests.select(F.col("main").alias("comp")).distinct(), "comp", "left_semi").select("id", "comp", "size")
     blocks = inside.groupBy("comp").agg(F.ceil(F.sum("size") / bound).cast("int").alias("blocks"))
-    each = inside.join(blocks, "comp")
-    first = each.select(F.xxhash64(F.lit(1), "comp", F.pmod(F.xxhash64("id"), "blocks")).alias("cell"), F.lit(0).alias("kind"), "id", "comp")
-    calls = visits.join(blocks.withColumnRenamed("comp", "main"), "main").select("id", "comp", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("k"))
-    second = calls.select(F.xxhash64(F.lit(1), "main", "k").alias("cell"), F.lit(1).alias("kind"), "id", "comp")
+    homes = inside.join(blocks, "comp").select("id", F.xxhash64(F.lit(1), "comp").alias("base"), "blocks", F.lit(0).alias("mode"), "comp")
+    guests = guests.join(blocks.withColumnRenamed("comp", "main"), "main").select("id", F.xxhash64(F.lit(1), "main").alias("base"), "blocks", F.lit(2).alias("mode"), "comp")
 
     several = out.where("comps > 2").groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.ceil(F.sum("size") / bound).cast("int").alias("blocks"))
     several = several.groupBy("x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks"))  # one key of those with the same documents
-    group = out.join(several.select("key", "blocks"), "key").select("key", "id", "comp", "blocks")
-    third = group.select(F.xxhash64(F.lit(2), "key", F.pmod(F.xxhash64("id"), "blocks")).alias("cell"), F.lit(0).alias("kind"), "id", "comp")
-    calls = group.select("key", "id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("k"))
-    fourth = calls.select(F.xxhash64(F.lit(2), "key", "k").alias("cell"), F.lit(1).alias("kind"), "id", "comp")
-    return first.union(second).union(third).union(fourth)
-
-
-def _joined(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between visitors and documents of their cells' blocks, enough of them to join what is linked in a cell."""
-    rows = cells.join(sets, "id").select("cell", "kind", "id", "comp", "s")
-
-    def index(block):
-        """Shingles of a block in order, whose each one is, sizes, ids and components."""
-        sizes = np.array([len(s) for _, _, s in block])
-        values, owner = np.concatenate([s for _, _, s in block]), np.repeat(np.arange(len(block)), sizes)
-        order = np.argsort(values, kind="stable")
-        return values[order], owner[order], sizes, [i for i, _, _ in block], [c for _, c, _ in block]
+    mutual = out.join(several.select("key", "blocks"), "key").select("id", F.xxhash64(F.lit(2), "key").alias("base"), "blocks", F.lit(1).alias("mode"), "comp")
+    calls = homes.union(guests).union(mutual)
+    return scratch.keep(calls.groupBy("id").agg(F.collect_list(F.struct("base", "blocks", "mode", "comp")).cast(CALL).alias("calls")), "visits")  # two a key at most
+
+
+def _joined(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between visitors and documents at home in their cells, enough of them to join what is linked in a cell."""
+
+    class Cell:
+        def __init__(self):
+            self.block, self.also, self.index, self.forest = [], [], None, _Forest()
+
+        def closed(self) -> list[tuple[int, int]]:
+            """No more documents are at home here: the shingles in order, and whose each one is; then those visit that also do."""
+            if self.index is not None or not self.block:
+                return []
+            sizes = np.array([len(s) for _, _, s in self.block])
+            values, owner = np.concatenate([s for _, _, s in self.block]), np.repeat(np.arange(len(self.block)), sizes)
+            order = np.argsort(values, kind="stable")
+            self.index = values[order], owner[order], sizes
+            return [link for k in self.also for link in self.visit(*self.block[k])]
+
+        def visit(self, one: int, comp: int, s: np.ndarray) -> list[tuple[int, int]]:
+            if self.index is None:
+                return []
+            (values, owner, sizes), links = self.index, []
+            low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            size = high - low
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            common = np.bincount(owner[at], minlength=len(sizes))
+            for k in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)):
+                other, of, _ = self.block[k]
+                if (r := self.forest.root(comp)) != (q := self.forest.root(of)):
+                    self.forest.up[r] = q
+                    links.append((min(one, other), max(one, other)))
+            return links
 
     def work(batches):
-        cell, block, held, forest = None, [], None, _Forest()
+        now, cell = None, Cell()
         for batch in batches:
             found: list[tuple[int, int]] = []
             columns = [batch.column(c).to_pylist() for c in ("cell", "kind", "id", "comp")]
             for i, (at, kind, one, comp) in enumerate(zip(*columns, strict=True)):
-                if at != cell:
-                    cell, block, held, forest = at, [], None, _Forest()
+                if at != now:
+                    found += cell.closed()
+                    now, cell = at, Cell()
                 s = np.frombuffer(batch.column("s")[i].as_py(), U)
-                if not kind:
-                    block.append((one, comp, s))
-                    continue
-                if not block:
+                if kind == 2:
+                    found += cell.closed()
+                    found += cell.visit(one, comp, s)
                     continue
-                held = held or index(block)
-                values, owner, sizes, ids, comps = held
-                low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                size = high - low
-                at_low = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                common = np.bincount(owner[at_low], minlength=len(sizes))
-                for k in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)):
-                    if (r := forest.root(comp)) != (q := forest.root(comps[k])):
-                        forest.up[r] = q
-                        found.append((min(one, ids[k]), max(one, ids[k])))
+                if kind:
+                    cell.also.append(len(cell.block))
+                cell.block.append((one, comp, s))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
+        if found := cell.closed():
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
 
     return rows.repartition("cell").sortWithinPartitions("cell", "kind", "id").mapInArrow(work, "a long, b long")
 
@@ -351,26 +398,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = scratch.keep(meetings(filed(classes, how), percent), "met")
     scratch.drop("classes")
-    pairs = scratch.keep(met.where("key is null").select("a", "b").distinct(), "pairs")
-    crowd = met.where("key is not null").select("key", F.col("a").alias("rep"))
-    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("rep")).distinct(), "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    _, maybe = split_by(texts, ids)
-    sets = scratch.keep(_sets(maybe.join(ids, "id", "left_semi"), how).where("length(s) > 0"), "sets")
-    scratch.drop("ids")
-    links = scratch.keep(_confirmed(pairs, sets, percent, scratch, block_bytes), "links")
-    for name in ("pairs", "places", "dealt"):
+    sizes = rows.where("n > 0").groupBy("id").agg((F.sum("n") * 8).alias("size"))
+    pairs = scratch.keep(met.where("key is null").select("a", "b").distinct(), "pairs")
+    links = scratch.keep(_confirmed(pairs, texts, sizes, how, percent, scratch, block_bytes), "links")
+    for name in ("pairs", "sized", "places", "dealt", "calls"):
         scratch.drop(name)
     # Documents with one id and several texts are one document.
     several = rows.where("rep is not null and id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = rows.join(several.where("a < b").select("id", "a"), "id").select("a", F.col("rep").alias("b"))
     member = connected_components(links.union(several), scratch, "first")
 
-    cells = scratch.keep(_cells(crowd, member, sets, scratch, block_bytes), "cells")
-    scratch.drop("met")
-    more = scratch.keep(_joined(cells, sets, percent), "more")
-    for name in ("own", "outside", "cells", "sets"):
+    crowd = met.where("key is not null").select("key", F.col("a").alias("rep"))
+    visits = _visits(crowd, member, sizes, scratch, block_bytes)
+    for name in ("met", "own", "outside"):
         scratch.drop(name)
+    more = scratch.keep(_joined(_dealt_sets(texts, visits, how), percent), "more")
     if not more.isEmpty():
         joined = member.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
         member = connected_components(joined, scratch, "all")
