@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -19,6 +20,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 QUESTION_TYPES = ("mcq", "yes_no", "numeric", "open")
 ARTIFACTS = (("```", " "), ("<|end_of_sentence|>", ""), ("<|end▁of▁sentence|>", ""), ("</s>", ""), ("<CONCLUSION>", ""), ("</CONCLUSION>", ""), ("Falcon: ", ""))
 OPERATORS = ("−–—×·÷", "---**/")
+NEEDS_WORK = r"(?U)[\\<`|" + OPERATORS[0] + r"]|Falcon: |^\s|\s$|\s\s|[^\S ]"  # what normalize_text looks for
 CHOICE_PUNCTUATION = ".()[],:;!*#{}：；，。、！？「」『』（）【】《》"
 
 # Patterns of answers, in Java's syntax.
@@ -53,10 +55,28 @@ def nfkc_each(values: pd.Series) -> pd.Series:
 
 
 def let(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often `use` names it."""
+    """use(value) with the value worked out once, however often `use` names it. Outside generated code: over many rows, make the value
+    a column of its own first and call the form that takes it (open_of_plain, parse_number_text and so on)."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_MADE: dict = {}
+
+
+def made_once(key: tuple, make):
+    """make(), kept under `key` for as long as the JVM that holds its columns: a long expression is some hundred calls to the JVM."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return make()
+    gateway = context._gateway
+    if _MADE.get("gateway") is not gateway:
+        _MADE.clear()
+        _MADE["gateway"] = gateway
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -89,7 +109,7 @@ def to_text(values: Column) -> Column:
 
 def boxed(c: Column) -> Column:
     r"""What the first \boxed{ holds, braces balanced; the whole text if there is none or it never closes."""
-    return let(c, _boxed)
+    return F.when(F.contains(c, F.lit("\\boxed{")), let(c, _boxed)).otherwise(c)
 
 
 def _boxed(c: Column) -> Column:
@@ -102,22 +122,26 @@ def _boxed(c: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when((s["depth"] == 0) | (depth == 0), s["out"]).otherwise(F.concat(s["out"], ch)).alias("out"))
 
     closed = lambda found: F.when(found["depth"] == 0, strip(found["out"])).otherwise(c)
-    return F.when(F.instr(c, marker) > 0, let(F.aggregate(tail, start, step), closed)).otherwise(c)
+    return let(F.aggregate(tail, start, step), closed)
 
 
 def normalize_text(c: Column, lower: bool = False, extract_boxed: bool = True, strip_latex: bool = True, unicode: bool = True) -> Column:
-    """Syntax only: NFKC, boxed content, thinking tags, inference artifacts, light LaTeX, operators, white space. Null is empty."""
+    """Syntax only: NFKC, boxed content, thinking tags, inference artifacts, light LaTeX, operators, white space. Null is empty.
+
+    Texts without any character that a step looks for, most of them, pass one test instead of the steps.
+    """
     t = F.coalesce(c, F.lit(""))
     t = nfkc(t) if unicode else t
-    t = boxed(t) if extract_boxed else t
-    t = F.regexp_replace(t, r"(?i)</?(?:think|answer)\s*>", " ")
+    marked = boxed(t) if extract_boxed else t
+    marked = F.regexp_replace(marked, r"(?i)</?(?:think|answer)\s*>", " ")
     for old, new in ARTIFACTS:
-        t = F.replace(t, F.lit(old), F.lit(new))
+        marked = F.replace(marked, F.lit(old), F.lit(new))
     if strip_latex:
-        t = F.regexp_replace(t, r"\\(?:left|right|displaystyle|mathrm|textbf|textit|text)\b", " ")
-        t = F.regexp_replace(t, r"\\(?:,|;|!|:)", " ")
-        t = F.replace(t, F.lit("\\%"), F.lit("%"))
-    t = collapse(F.translate(t, *OPERATORS))
+        marked = F.regexp_replace(marked, r"\\(?:left|right|displaystyle|mathrm|textbf|textit|text)\b", " ")
+        marked = F.regexp_replace(marked, r"\\(?:,|;|!|:)", " ")
+        marked = F.replace(marked, F.lit("\\%"), F.lit("%"))
+    marked = collapse(F.translate(marked, *OPERATORS))
+    t = F.when(t.rlike(NEEDS_WORK), marked).otherwise(t)
     return F.lower(t) if lower else t
 
 
@@ -127,13 +151,13 @@ def normalize_exact(c: Column, unicode: bool = True) -> Column:
 
 def normalize_open(c: Column, unicode: bool = True) -> Column:
     """normalize_exact without wrapping quotes and closing punctuation."""
-    return open_of_plain(normalize_exact(c, unicode))
+    return let(normalize_exact(c, unicode), open_of_plain)
 
 
 def open_of_plain(plain: Column) -> Column:
     """normalize_open of a text that is in its normal form."""
-    t = F.regexp_replace(F.lower(plain), "^[\"'`]+|[\"'`]+$", "")
-    return collapse(F.regexp_replace(t, r"[\.。!！?？]+$", ""))
+    t = F.regexp_replace(F.regexp_replace(F.lower(plain), "^[\"'`]+|[\"'`]+$", ""), r"[\.。!！?？]+$", "")
+    return F.when(plain.rlike("^[\"'`]|[\"'`.。!！?？]$"), collapse(t)).otherwise(F.lower(plain))
 
 
 def _contiguous(found: Column, n: int = 8) -> Column:
@@ -214,13 +238,10 @@ def gt_letters(gt: Column, is_list: Column) -> Column:
 
 def parse_number_text(t: Column) -> Column:
     """A number that makes up all of an open-normalised text; a closing % divides by 100; null otherwise."""
-
-    def whole(text: Column) -> Column:
-        percent = F.endswith(text, F.lit("%"))
-        number = let(strip(F.regexp_replace(text, "%+$", "")), _plain_number)
-        return F.when(percent, number / 100.0).otherwise(let(text, _plain_number))
-
-    return let(F.replace(t, F.lit(","), F.lit("")), whole)
+    plain = F.replace(t, F.lit(","), F.lit(""))
+    percent = F.endswith(plain, F.lit("%"))
+    value = _plain_number(F.when(percent, strip(F.regexp_replace(plain, "%+$", ""))).otherwise(plain))
+    return F.when(t.rlike(r"^[\d.,_eE+\-% naifty]+$"), F.when(percent, value / 100.0).otherwise(value))
 
 
 def _plain_number(t: Column) -> Column:
@@ -230,7 +251,7 @@ def _plain_number(t: Column) -> Column:
 
 
 def parse_number(c: Column, unicode: bool = True) -> Column:
-    return parse_number_text(normalize_open(c, unicode))
+    return let(normalize_open(c, unicode), parse_number_text)
 
 
 def yes_no_text(normal: Column) -> Column:
@@ -339,6 +360,7 @@ def letters_of_plain(plain: Column, candidates: Column) -> Column:
 
 # Placeholders and media.
 
+# Endings of video files.
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".webm", ".flv", ".wmv", ".m4v")
 
 
@@ -376,9 +398,11 @@ def normalize_image_refs(c: Column) -> Column:
     return F.regexp_replace(c, r"<image\s*\d+>", "<image>")
 
 
-def flat_text(parts: Column) -> Column:
-    """Nested list of strings joined by a space."""
-    return F.array_join(F.flatten(parts), " ")
+def flat_text(parts: Column, depth: int = 1) -> Column:
+    """All texts of lists nested `depth` deep, one after the other; nulls are empty."""
+    for _ in range(depth - 1):
+        parts = F.flatten(F.filter(parts, lambda x: x.isNotNull()))
+    return F.coalesce(F.array_join(parts, ""), F.lit(""))
 
 
 def slug(c: Column) -> Column:
@@ -391,18 +415,17 @@ def sanitize_id(c: Column) -> Column:
 
 # Choice answers of video benchmarks.
 
-CHOICE_PREFIXES = ("The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is", "Best answer:Best option:", "Answer:", "Option:", "The correct answer", "The correct option")
+# Prefixes removed from an answer (two of them run together, as they stand in the public code), and words for digits.
+CHOICE_PREFIXES = ("The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is", "Best answer:Best option:")
+DIGIT_WORDS = (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"), ("5", "five"), ("6", "six"), ("7", "seven"), ("8", "eight"), ("9", "nine"))
 
 
 def video_choice(c: Column) -> Column:
-    """First A to D after known prefixes are removed; empty if more than ten words hold none."""
+    """First A to D after known prefixes are removed; empty if none is there."""
     t = strip(F.coalesce(c, F.lit("")))
     for prefix in CHOICE_PREFIXES:
         t = F.replace(t, F.lit(prefix), F.lit(""))
-    return F.when((F.size(F.split(t, " ")) > 10) & ~t.rlike("[ABCD]"), "").otherwise(F.coalesce(first_match(t, "([ABCD])"), F.lit("")))
-
-
-DIGIT_WORDS = (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"), ("5", "five"), ("6", "six"), ("7", "seven"), ("8", "eight"), ("9", "nine"))
+    return F.regexp_extract(t, "([ABCD])", 1)
 
 
 def choice_index(answer: Column, options: Column, digits: bool = False, default: int = 2) -> Column:

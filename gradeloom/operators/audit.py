@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Folders that only exist on one machine, and task types.
 LOCAL_PATH = r"(?:/(?:home|mnt|data|root|Users)/[^\s\"']+)"
 TASK_TYPES = ("vqa", "multiple_choice_vqa", "captioning", "multiple_choice_qa")
 
@@ -61,24 +62,78 @@ def url_keys_outside(blocks: DataFrame, splits: Column, urls: Column) -> DataFra
     return blocks.where(F.size(F.array_except(F.map_keys(urls), splits)) > 0)
 
 
-def video_storage_issues(rows: DataFrame, key: str = "name") -> DataFrame:
-    s = F.col("video_storage")
-    return issues(rows, key, {"video_storage without videos": s.isNotNull() & ~F.col("has_video"), "videos without video_storage": s.isNull() & F.col("has_video"), "unknown storage": s.isNotNull() & ~s.isin("inline", "external", "archive")})
+# What a manifest may say.
+ORIGINS = ("official", "source_column", "fallback")
+STORAGE = ("files", "archives")
+ARCHIVES = ("zip", "tar", "tar.gz")
 
 
-def result_contract(rows: DataFrame, key: str = "eval_id") -> DataFrame:
-    """What a result row must satisfy before it is graded."""
-    last = F.try_element_at("messages", F.lit(-1))
+def source_issues(blocks: DataFrame, key: str = "name") -> DataFrame:
+    """Of manifest blocks (source_fields array<string>, url map<string,string>, splits): deprecated fields, and url maps that lack or name too much."""
     return issues(
-        rows, key,
+        blocks, key,
         {
-            "no messages": F.size("messages") <= 0, "no assistant message": last["role"] != "assistant", "no response": last["response"].isNull(), "empty response": F.size(last["response"]) == 0,
-            "blank response": F.forall(last["response"], lambda r: T.strip(r) == ""), "user without reply": ~answered_by_assistant(F.col("messages")), "no eval id": F.col(key).isNull(),
-            "no answer": F.col("answer").isNull(), "placeholders left": F.exists(last["response"], lambda r: F.size(T.placeholders(r)) > 0),
+            "source.repo is deprecated": F.array_contains("source_fields", "repo"), "source.links is deprecated": F.array_contains("source_fields", "links"),
+            "source.url is missing": F.col("url").isNull(), "source.url names unknown splits": (F.size("splits") > 0) & (F.size(F.array_except(F.map_keys("url"), F.col("splits"))) > 0),
         },
     )
 
 
+def template_issues(blocks: DataFrame, key: str = "name") -> DataFrame:
+    """Of manifest blocks: whether prompt_template_source (struct<origin, reference>) tells where the prompt comes from."""
+    s = F.col("prompt_template_source")
+    return issues(
+        blocks, key,
+        {
+            "prompt_template_source is missing": s.isNull(), "unknown origin": s.isNotNull() & ~F.coalesce(s["origin"].isin(*ORIGINS), F.lit(False)),
+            "no reference": s.isNotNull() & (T.strip(F.coalesce(s["reference"], F.lit(""))) == ""),
+        },
+    )
+
+
+def video_storage_issues(blocks: DataFrame, key: str = "name") -> DataFrame:
+    """Of manifest blocks (modalities, video_storage struct<format, media_root, archive_format, archive_files>): the rules for videos."""
+    s, video = F.col("video_storage"), F.exists("modalities", lambda m: F.contains(m, F.lit("video")))
+    there = video & s.isNotNull()
+    archives = there & F.coalesce(s["format"] == "archives", F.lit(False))
+    return issues(
+        blocks, key,
+        {
+            "videos without video_storage": video & s.isNull(), "unknown format": there & ~F.coalesce(s["format"].isin(*STORAGE), F.lit(False)), "no media_root": there & (F.coalesce(s["media_root"], F.lit("")) == ""),
+            "unknown archive_format": archives & ~F.coalesce(s["archive_format"].isin(*ARCHIVES), F.lit(False)), "no archive_files": archives & (F.coalesce(F.size("video_storage.archive_files"), F.lit(0)) <= 0),
+        },
+    )
+
+
+def result_contract(rows: DataFrame, key: str = "eval_id", expected: int | None = None) -> DataFrame:
+    """(key as text, issue): what a result set must satisfy before it is graded. `rows` has id, media, answer and messages
+    (array<struct<role, question, prompt, response>>, response an array<string>); other columns are not read.
+
+    One issue more, with a null key, if the set is empty or has another number of rows than expected, and one for each repeated id.
+    """
+    first, second = F.try_element_at("messages", F.lit(1)), F.try_element_at("messages", F.lit(2))
+    some = F.size("messages") > 0
+    prompt = F.coalesce(first["prompt"], F.lit(""))
+    shown, media = T.placeholders(prompt), F.coalesce("media", F.array().cast("array<string>"))
+    videos = F.filter(media, lambda m: T.is_video(m))
+    count = lambda kind: F.size(F.filter(shown, lambda x: x == kind))
+    asked = some & (T.strip(prompt) != "")
+    found = issues(
+        rows.withColumn("__key", F.col(key).cast("string")), "__key",
+        {
+            "id missing": T.strip(F.coalesce(F.col("id").cast("string"), F.lit(""))) == "", "no messages": ~some, "prompt empty": some & (T.strip(prompt) == ""), "placeholder mismatch": asked & (F.size(shown) != F.size(media)),
+            "video path empty": asked & F.exists(media, lambda m: T.strip(F.coalesce(m, F.lit(""))) == ""), "video placeholder mismatch": asked & (F.size(videos) > 0) & (count("video") != F.size(videos)),
+            "response empty": asked & (T.strip(T.flat_text(second["response"])) == ""), "second message is not the assistant's": asked & (F.size("messages") >= 2) & (second["role"] != "assistant"),
+            "user without reply": some & ~answered_by_assistant(F.col("messages")), "no eval id": F.col(key).isNull(), "no answer": F.col("answer").isNull(),
+            "placeholders left in the response": F.exists(second["response"], lambda r: F.size(T.placeholders(r)) > 0),
+        },
+    )
+    again = rows.where(F.col("id").isNotNull()).groupBy(F.col("id").cast("string").alias("__key")).count().where("count > 1").select("__key", F.concat(F.lit("id appears "), F.col("count").cast("string"), F.lit(" times")).alias("issue"))
+    n = rows.agg(F.count("*").alias("n"))
+    whole = issues(n.withColumn("__key", F.lit(None).cast("string")), "__key", {"no rows": F.col("n") == 0, f"not {expected} rows": F.lit(expected is not None) & (F.col("n") != F.lit(expected or 0))})
+    return found.union(again).union(whole).withColumnRenamed("__key", key)
+
+
 def gate(summary: DataFrame, llm_errors: bool = True) -> DataFrame:
     """A summary row with passed: no invalid rows and, if asked for, no failed model calls."""
     ok = F.col("invalid") == 0

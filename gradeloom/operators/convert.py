@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .store import one_row
 
 
 def parse_mapping(pairs: Sequence[str], required: Sequence[str] = ("id", "question")) -> dict[str, str]:
@@ -46,14 +48,48 @@ def options_of_list(choices: Column) -> Column:
     return F.zip_with(F.slice(T.letters(), 1, F.size(choices)), F.slice(choices, 1, 26), lambda k, c: F.struct(k.alias("letter"), c.alias("text")))
 
 
-def message(question: Column, answer: Column, options: Column | None = None, choices: Column | None = None, hint: Column | None = None, answer_join: str | None = ", ") -> Column:
-    """A user message; what is missing becomes empty. A list answer is joined unless answer_join is None."""
+def mapping_of_manifest(mapping: Mapping) -> dict[str, str]:
+    """canonical=source pairs of a manifest's mapping block: each field that names a column in `from`, those of `extra` too."""
+    found = {k: v["from"] for k, v in mapping.items() if k not in ("source", "extra") and isinstance(v, Mapping) and isinstance(v.get("from"), str)}
+    return found | {k: v["from"] for k, v in (mapping.get("extra") or {}).items() if isinstance(v, Mapping) and isinstance(v.get("from"), str)}
+
+
+def filter_source(rows: DataFrame, predicate: str | None) -> DataFrame:
+    """Source rows for which a SQL predicate holds, before anything is exploded or counted; null does not hold."""
+    return rows if not predicate else rows.where(F.expr(predicate))
+
+
+def limit_source(rows: DataFrame, n: int | None, position: str = "position") -> DataFrame:
+    """The first n source rows by position; all for None."""
+    return rows if n is None else rows.where(F.col(position) < n)
+
+
+def inject_meta(rows: DataFrame, meta: Mapping, column: str = "dataset_meta") -> DataFrame:
+    """A constant block, as JSON with sorted keys, where a row has none."""
+    block = F.lit(json.dumps(meta, sort_keys=True))
+    return rows.withColumn(column, F.coalesce(F.col(column), block) if column in rows.columns else block)
+
+
+def scrub_media(rows: DataFrame, messages: str = "messages", media: str = "media") -> DataFrame:
+    """Rows fit to be saved: no message holds media, and the sample's own binary media are named "Image Object"; paths stay."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    if messages in kinds and "media" in kinds[messages].elementType.fieldNames():
+        rows = rows.withColumn(messages, F.transform(messages, lambda m: m.dropFields("media")))
+    if media in kinds and kinds[media].elementType.simpleString() != "string":
+        rows = rows.withColumn(media, F.transform(media, lambda m: F.when(m.isNotNull(), F.lit("Image Object"))))
+    return rows
+
+
+def message(question: Column, answer: Column, options: Column | None = None, choices: Column | None = None, hint: Column | None = None, answer_join: str | None = ", ", extra: Mapping[str, Column] | None = None) -> Column:
+    """A user message; what is missing becomes empty. A list answer is joined unless answer_join is None. `extra` fields are passed
+    through as a map of texts without nulls."""
     none = F.array().cast("array<string>")
     joined = answer if answer_join is None else F.array(F.array_join(answer, answer_join))
     return F.struct(
         F.lit("user").alias("role"), F.coalesce(question, F.lit("")).alias("question"), F.coalesce(joined, none).alias("answer"),
         F.coalesce(options if options is not None else F.lit(None), F.array().cast("array<struct<letter:string,text:string>>")).alias("options"),
         F.coalesce(choices if choices is not None else F.lit(None), none).alias("choices"), F.coalesce(hint if hint is not None else F.lit(None), F.lit("")).alias("hint"),
+        F.map_filter(F.create_map(*(x for k, c in (extra or {}).items() for x in (F.lit(k), c.cast("string")))).cast("map<string,string>"), lambda _, v: v.isNotNull()).alias("extra"),
     )
 
 
@@ -81,7 +117,7 @@ def explode_rows(rows: DataFrame, nested: str, id_col: str = "id", template: str
 
 def unique_ids(rows: DataFrame, order: Sequence[str], id_col: str = "id", always: bool = False, base: int = 1) -> DataFrame:
     """Repeated ids become {id}_q{k} in `order`, the old id going to source_id; with `always` every row is numbered."""
-    w = Window.partitionBy(id_col)
+    w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(*order)))  # null ids are no repeats and don't meet
     n, k = F.count("*").over(w), F.row_number().over(w.orderBy(*order)) - 1 + base
     return rows.select("*", n.alias("__n"), k.alias("__k")).withColumn("source_id", F.col(id_col)).withColumn(
         id_col, F.when(F.lit(always) | (F.col("__n") > 1), F.concat_ws("_q", F.col(id_col).cast("string"), F.col("__k"))).otherwise(F.col(id_col).cast("string"))
@@ -94,8 +130,18 @@ def skip_reasons(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy(category.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def media_range(kept: DataFrame, media: str = "media") -> DataFrame:
-    return kept.agg(F.min(F.size(media)).alias("media_min"), F.max(F.size(media)).alias("media_max"))
+def conversion_summary(kept: DataFrame, rejected: DataFrame, position: str = "position", examples: int = 50) -> DataFrame:
+    """One row: rows kept, rows skipped, counts by reason as a map, and the first `examples` skipped (position, id, reason)."""
+    reasons = skip_reasons(rejected).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("skip_reason_counts"), F.coalesce(F.sum("n"), F.lit(0)).alias("skipped"))
+    few = rejected.select(F.col(position).alias("position"), F.col("id").cast("string").alias("id"), "reason").orderBy("position").limit(examples)
+    few = few.agg(F.array_sort(F.collect_list(F.struct("position", "id", "reason"))).alias("skipped_samples"))
+    return one_row(kept.agg(F.count("*").alias("rows")), reasons, few).select("rows", "skipped", "skip_reason_counts", "skipped_samples")
+
+
+def media_range(kept: DataFrame, media: str = "media", by: Sequence[str] = ()) -> DataFrame:
+    """Rows, and the least and the greatest number of media of one, in all or by columns."""
+    n = F.size(media).cast("long")
+    return kept.groupBy(*by).agg(F.count("*").alias("n"), F.min(n).alias("media_min"), F.max(n).alias("media_max"))
 
 
 # Modalities in their canonical order.
@@ -111,6 +157,17 @@ def modality_profile(kind_counts: Mapping[str, Column], interleaved: Column) ->
     )
 
 
+def dataset_modalities(rows: DataFrame, images: Column, videos: Column) -> DataFrame:
+    """One row: the modalities of a whole set, in canonical order, by what its rows hold together: one for the media of the set (both
+    kinds, in a row or in different ones; else videos; else several images in a row; else images) and text for rows without any."""
+    n = rows.select(images.alias("i"), videos.alias("v"))
+    some = n.agg(*(F.coalesce(F.bool_or(F.expr(c)), F.lit(False)).alias(k) for k, c in (("text", "i + v = 0"), ("multi", "i >= 2 and v = 0"), ("video", "v > 0"), ("image", "i > 0"))))
+    media = F.when(F.col("video") & F.col("image"), "multi_image_video_interleave").when(F.col("video"), "single_video_start").when(F.col("multi"), "multi_image_start").when(F.col("image"), "single_image_start")
+    text = F.when(F.col("text") | media.isNull(), "text")
+    known = F.array(*map(F.lit, MODALITIES))
+    return some.select(F.filter(known, lambda m: F.array_contains(F.array_compact(F.array(media, text)), m)).alias("modalities"))
+
+
 def ordered_modalities(rows: DataFrame, column: str = "modality") -> DataFrame:
     """One row: the distinct modalities in canonical order, unknown ones last."""
     known = F.array(*map(F.lit, MODALITIES))
@@ -156,3 +213,31 @@ def regroup(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], order:
     """Rows back into one record for each key, with an ordered list of structs."""
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *fields)))
     return rows.groupBy(*keys).agg(F.transform(packed, lambda s: F.struct(*(s[f].alias(f) for f in fields))).alias(name))
+
+
+def build_manifest(name: str, release_date: str, subset: str, block: Mapping, seed: Mapping | None = None) -> dict:
+    """A manifest with one subset's block written in. `block` has modalities, media_min, media_max, source (format, url by split) and
+    mapping, and may have language, task_type, prompt_template, prompt_template_source and extra.
+
+    A seed keeps what the block does not name: its other subsets, its languages, task type and template, its url entries; the later
+    release date stays. Deprecated source fields (links, repo, path) go, links into url. A seed without the subset is an error.
+    """
+    root = json.loads(json.dumps(seed)) if seed else {"name": name, "subsets": {}}
+    root.setdefault("name", name)
+    root["release_date"] = max(str(root.get("release_date") or ""), release_date)
+    old = dict(root.setdefault("subsets", {}).get(subset) or {})
+    if seed and not old:
+        raise ValueError(f"the seed has no subset {subset!r}")
+    mapping = dict(old.get("mapping_from_source") or block.get("mapping") or {})
+    source = dict(mapping.get("source") or {})
+    url = dict(source["url"]) if isinstance(source.get("url"), Mapping) else {}
+    url = dict(source.get("links") or {}) | url | dict(block.get("source", {}).get("url") or {})
+    mapping["source"] = {k: v for k, v in source.items() if k not in ("links", "repo", "path")} | {"format": block.get("source", {}).get("format") or source.get("format"), "url": url}
+    mapping["media"] = dict(mapping.get("media") or {}) | {"min_items": block["media_min"], "max_items": block["media_max"]}
+    if block.get("extra"):
+        mapping["extra"] = dict(mapping.get("extra") or {}) | {k: {"from": v} for k, v in block["extra"].items()}
+    new = {"modalities": list(block["modalities"]), "mapping_from_source": mapping}
+    for key, default in (("language", ["en"]), ("task_type", "vqa"), ("prompt_template", ""), ("prompt_template_source", None)):
+        new[key] = block[key] if block.get(key) is not None else old.get(key) or default
+    root["subsets"][subset] = old | new
+    return root

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .store import written
+
+MAX_DRAW = 10_000_000  # positions that the driver draws; hashed_rows() has no such bound
+
 
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Adds 0-based positions in a total order without putting all rows into one task.
@@ -19,7 +23,7 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     spark = df.sparkSession
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
     split = parts.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    split = split.persist()  # the ids must not be drawn anew for the counts; lost blocks are computed again from the same ranges
+    split = written(split)  # the ranges must not be drawn anew for the counts
     counts = sorted((r["__p"], r["n"]) for r in split.groupBy("__p").agg(F.count("*").alias("n")).collect())
     start, offsets = 0, []
     for p, n in counts:
@@ -40,7 +44,10 @@ def tail(df: DataFrame, n: int, position: str = "position") -> DataFrame:
 
 
 def random_positions(total: int, n: int | None, seed: int) -> list[int]:
-    """n of `total` positions in drawing order, without replacement; all of them, shuffled, for None."""
+    """n of `total` positions in drawing order, without replacement; all of them, shuffled, for None. The draw of one generator can't
+    be dealt out, so MAX_DRAW positions at most."""
+    if (total if n is None else min(n, total)) > MAX_DRAW:
+        raise ValueError(f"more than {MAX_DRAW} positions; use hashed_rows()")
     return random.Random(seed).sample(range(total), total if n is None else min(n, total))
 
 

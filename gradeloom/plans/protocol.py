@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 STAGES = ("exact-match", "rule-match", "llm-match", "llm-judge", "vqa-accuracy", "anls")
@@ -50,7 +50,8 @@ class Protocol:
     sources: Mapping[str, str] = field(default_factory=dict)
 
     def fingerprint(self, **more: object) -> str:
-        """A digest of all that changes verdicts; judge settings count only with a judging stage."""
+        """A digest of all that changes verdicts; judge settings (judge_model, judge_model_revision, ...) count only with a judging
+        stage. Name the data, too: dataset_name, subset, split and, where there is one, dataset_revision."""
         judge = more if LLM_STAGES & set(self.pipeline) else {k: v for k, v in more.items() if not k.startswith("judge_")}
         told = [self.pipeline, self.numeric_rel_tol, self.numeric_abs_tol, self.string_match, self.anls_threshold, sorted(judge.items())]
         return hashlib.sha256(json.dumps(told, default=str).encode()).hexdigest()
@@ -114,3 +115,58 @@ def resolve_protocol(options: Mapping[str, object] | None = None, meta: Mapping
     if str(meta.get("score_note") or "").strip():
         notes.append(str(meta["score_note"]).strip())
     return Protocol(tuple(pipeline), rel, absolute, text, threshold, meta.get("task_type"), official, tuple(notes), sources)
+
+
+def provenance() -> dict[str, str | None]:
+    """What a run can be repeated with: the versions of Python, Spark and this package's commit, if it is a checkout."""
+    import platform
+    import subprocess
+    from pathlib import Path
+
+    import pyspark
+
+    try:
+        commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=5, cwd=Path(__file__).parent).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        commit = None
+    return {"git_commit": commit, "python": platform.python_version(), "spark": pyspark.__version__}
+
+
+def each_file(files: Sequence[str], grade_file: Callable[[str], object]) -> tuple[dict[str, object], dict[str, str]]:
+    """grade_file() of every file, the failure of one leaving the others alone: results and errors by file."""
+    done, failed = {}, {}
+    for name in files:
+        try:
+            done[name] = grade_file(name)
+        except Exception as e:
+            failed[name] = f"{type(e).__name__}: {e}"
+    return done, failed
+
+
+# What a generation call may be told, and another name for one of them in chat interfaces.
+GENERATION = (
+    "max_length", "max_new_tokens", "min_length", "min_new_tokens", "early_stopping", "max_time", "do_sample", "num_beams", "use_cache", "cache_implementation", "temperature", "top_k", "top_p", "min_p",
+    "diversity_penalty", "repetition_penalty", "length_penalty",
+)
+CHAT_NAMES = {"max_new_tokens": "max_completion_tokens"}
+
+
+def generation_options(given: Mapping[str, object], defaults: Mapping[str, object] | None = None) -> dict[str, object]:
+    """The generation options among what was given, else among the defaults; None counts as not given."""
+    found = ((k, given[k] if given.get(k) is not None else (defaults or {}).get(k)) for k in GENERATION)
+    return {k: v for k, v in found if v is not None}
+
+
+def fit_options(options: Mapping[str, object], method: Callable, names: Mapping[str, str] = CHAT_NAMES) -> tuple[dict[str, object], list[str]]:
+    """Options under the names that `method` takes, and those that it does not take. All fit where its signature can't be read or
+    takes any name."""
+    import inspect
+
+    renamed = {k: names.get(k, k) for k in options}
+    try:
+        known = inspect.signature(method).parameters
+    except (TypeError, ValueError):
+        known = None
+    if known is None or any(p.kind is inspect.Parameter.VAR_KEYWORD for p in known.values()):
+        return {renamed[k]: v for k, v in options.items()}, []
+    return {renamed[k]: v for k, v in options.items() if renamed[k] in known}, [k for k in options if renamed[k] not in known]

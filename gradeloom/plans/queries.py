@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import audit, convert, grading, prompts, resume, select
+from ..operators.store import spread
 from .protocol import resolve_protocol
 
 QUERIES: dict = {}
@@ -51,6 +52,14 @@ def share(df: DataFrame, *keys: str) -> DataFrame:
 # Numbers, yes or no, letters, text.
 
 
+def numbers(rows: DataFrame) -> DataFrame:
+    """Adds p and g, the numbers of pred and gt, each normal form being a column of its own."""
+    rows = spread(rows)
+    for make, before, after in ((lambda c: T.normalize_exact(c, False), ("pred", "gt"), ("__p", "__g")), (T.open_of_plain, ("__p", "__g"), ("__p", "__g")), (T.parse_number_text, ("__p", "__g"), ("p", "g"))):
+        rows = rows.withColumns({new: make(F.col(old)) for old, new in zip(before, after, strict=True)})
+    return rows.drop("__p", "__g")
+
+
 @query(
     f"""WITH s AS (SELECT l_returnflag, l_quantity AS g, CASE l_linenumber % 3 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity ELSE l_quantity + 1 END AS p FROM lineitem)
     SELECT l_returnflag, {SHARE} FROM (SELECT l_returnflag, p = g AS ok FROM s) GROUP BY ALL"""
@@ -59,7 +68,7 @@ def score_numeric_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-answer numbers, equal as numbers."""
     q = F.col("l_quantity").cast("int")
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", q.cast("string").alias("gt"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(q, F.lit(".0"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("'"), q, F.lit("'"))).otherwise((q + 1).cast("string")).alias("pred"))
-    return share(rows.withColumn("ok", N.numbers_match(T.parse_number(F.col("pred"), False), T.parse_number(F.col("gt"), False))), "l_returnflag")
+    return share(numbers(rows).withColumn("ok", N.numbers_match(F.col("p"), F.col("g"))), "l_returnflag")
 
 
 @query(
@@ -70,7 +79,7 @@ def score_numeric_reltol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers within 5 percent."""
     c = F.round(F.col("o_totalprice") * 100).cast("long")
     rows = table(spark, sf_dir, "orders").select("o_orderpriority", (c * 100).cast("string").alias("gt"), (c * (90 + F.col("o_orderkey") % 21)).cast("string").alias("pred"))
-    return share(rows.withColumn("ok", N.numbers_match(T.parse_number(F.col("pred"), False), T.parse_number(F.col("gt"), False), rel_tol=0.05)), "o_orderpriority")
+    return share(numbers(rows).withColumn("ok", N.numbers_match(F.col("p"), F.col("g"), rel_tol=0.05)), "o_orderpriority")
 
 
 YES_NO = ("Yes.", "no", "Yes and no", "Well, NO way", "I know nothing", "the answer is yes!")
@@ -119,7 +128,7 @@ def mcq_robust_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters out of reasoning: tags, boxes, cues, position, labels."""
     rows = table(spark, sf_dir, "orders").select("o_orderpriority", pick(F.col("o_orderkey"), *(q for q, _ in ROBUST)).alias("pred"))
     none = F.array().cast("array<struct<letter:string,text:string>>")
-    rows = rows.withColumn("plain", T.normalize_text(F.col("pred"), unicode=False)).withColumn("tag", T.answer_tag(F.col("pred")))
+    rows = spread(rows).withColumn("plain", T.normalize_text(F.col("pred"), unicode=False)).withColumn("tag", T.answer_tag(F.col("pred")))
     return rows.withColumn("letter", T.option_robust(F.col("pred"), F.col("plain"), F.col("tag"), T.letters(4), none)).groupBy("o_orderpriority", "letter").agg(F.count("*").alias("n"))
 
 
@@ -272,12 +281,16 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.duplicate_keys(table(spark, sf_dir, "events"), "user_id")
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) GROUP BY 1")
+@query(
+    """WITH c AS (SELECT event_id, user_id % 3 AS f, event_type = 'error' AS bad FROM events WHERE event_id % 2 = 0), u AS (SELECT event_id FROM c WHERE f = 1 AND NOT bad)
+    SELECT event_type, event_id IN (SELECT event_id FROM u) AS reused, count(*) AS n FROM events GROUP BY ALL"""
+)
 def split_work_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, sf_dir, "orders")
-    done = orders.join(cache.distinct(), "o_custkey", "left_semi")
-    return done.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    """Rows with a cached result of the same configuration, and rows still to do."""
+    events = table(spark, sf_dir, "events")
+    cache = events.where("event_id % 2 = 0").select("event_id", (F.col("user_id") % 3).cast("string").alias("fingerprint"), F.when(F.col("event_type") == "error", "llm_error: x").alias("reason"))
+    done, todo = resume.split_work(events, resume.reusable(cache, "1"), "event_id")
+    return done.withColumn("reused", F.lit(True)).unionByName(todo.withColumn("reused", F.lit(False))).groupBy("event_type", "reused").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_name FROM customer WHERE c_name ILIKE 'customer#00000_1%'")
@@ -357,10 +370,11 @@ def normalize_open_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.normalize_open(F.col("text"), False).alias("normal"))
 
 
-@query("SELECT p_brand, 'kept' AS part, count(*) AS n, min(p_partkey % 4) AS media_min, max(p_partkey % 4) AS media_max FROM part WHERE p_size % 5 <> 0 GROUP BY ALL")
+@query("SELECT p_brand, p_size % 5 <> 0 AS kept, count(*) AS n, min(p_partkey % 4) AS media_min, max(p_partkey % 4) AS media_max FROM part GROUP BY ALL")
 def media_range_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_size % 5 <> 0").withColumn("media", F.array_repeat(F.lit("m"), (F.col("p_partkey") % 4).cast("int")))
-    return rows.groupBy("p_brand").agg(F.lit("kept").alias("part"), F.count("*").alias("n"), F.min(F.size("media")).cast("long").alias("media_min"), F.max(F.size("media")).cast("long").alias("media_max"))
+    """Numbers of media by brand, of kept and of skipped rows."""
+    rows = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 5 != 0).alias("kept"), F.array_repeat(F.lit("m"), (F.col("p_partkey") % 4).cast("int")).alias("media"))
+    return convert.media_range(rows, by=("p_brand", "kept"))
 
 
 @query("SELECT CASE p_size % 3 WHEN 0 THEN 'encode_failed' WHEN 1 THEN 'missing_required:id' ELSE 'unknown_video_ext' END AS reason, count(*) AS n FROM part GROUP BY 1")
@@ -390,10 +404,10 @@ def merge_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Roll-ups of prediction logs.
 
 
-@query("SELECT event_type AS task_type, round(100.0 * avg(CAST(user_id % 4 = event_id % 4 AS INT)), 6) AS accuracy FROM events GROUP BY ROLLUP (event_type)")
+@query("SELECT event_type AS task_type, count(*) AS total, round(100.0 * avg(CAST(user_id % 4 = event_id % 4 AS INT)), 6) AS accuracy FROM events GROUP BY ROLLUP (event_type)")
 def accuracy_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("ok", (F.col("user_id") % 4 == F.col("event_id") % 4).cast("int"))
-    return rows.rollup(F.col("event_type").alias("task_type")).agg(F.round(100 * F.avg("ok"), 6).alias("accuracy"))
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "task_type")
+    return grading.accuracy_by(rows, "task_type", F.col("user_id") % 4 == F.col("event_id") % 4).select("task_type", "total", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query(
@@ -419,7 +433,7 @@ REPLIES = (
 @query(f"""SELECT event_type, CAST(nullif({pick_sql('event_id', *(v for _, v in REPLIES))}, '') AS INT) AS verdict, count(*) AS n FROM events GROUP BY ALL""")
 def judge_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_type", pick(F.col("event_id"), *(r for r, _ in REPLIES)).alias("reply"))
-    return rows.withColumn("v", grading.judge_verdict(F.col("reply"))).groupBy("event_type", F.col("v.is_correct").alias("verdict")).agg(F.count("*").alias("n"))
+    return spread(rows).withColumn("v", grading.judge_verdict(F.col("reply"))).groupBy("event_type", F.col("v.is_correct").alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) FILTER (WHERE event_id % 3 = 0) AS yes, count(*) FILTER (WHERE event_id % 3 = 1) AS no, round(count(*) FILTER (WHERE event_id % 3 = 0) / count(*) FILTER (WHERE event_id % 3 < 2), 6) AS accuracy, round(avg(event_id % 6), 6) AS average_score FROM events")
@@ -440,14 +454,29 @@ def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.uniform_frames(F.col("p_size"), 8).cast("array<string>"), ",").alias("frames"))
 
 
-@query()
+GRIDS = """WITH g AS (SELECT i, j, row_number() OVER (ORDER BY i * j, i, j) AS r FROM range(1, 13) a(i), range(1, 13) b(j) WHERE i * j <= 12),
+    s AS (SELECT p_partkey, p_size * 40 + 200 AS w, p_partkey % 17 * 90 + 300 AS h FROM part),
+    d AS (SELECT p_partkey, w, h, i, j, r, abs(w::DOUBLE / h - i::DOUBLE / j) AS d, w * h > 0.5 * 448 * 448 * i * j AS large FROM s, g),
+    m AS (SELECT * FROM d QUALIFY d = min(d) OVER (PARTITION BY p_partkey)),
+    b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN large THEN -r ELSE r END, r) = 1)"""
+
+
+@query(
+    GRIDS + """, f AS (SELECT *, least(448::DOUBLE / w, 448::DOUBLE / h) AS k FROM b), x AS (SELECT *, CAST(trunc(w * k) AS INT) AS fw, CAST(trunc(h * k) AS INT) AS fh FROM f)
+    SELECT p_partkey, i AS cols, j AS rows, fw AS width, fh AS height, (448 - fw) // 2 AS "left", (448 - fh) // 2 AS top, CASE WHEN i * j > 1 THEN i * j + 1 ELSE 1 END AS tiles,
+    CAST((i * j - 1) % i * 448 AS INT) AS last_left, CAST((i * j - 1) // i * 448 AS INT) AS last_top FROM x"""
+)
 def tile_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tile grids and fitted boxes of made-up image sizes."""
+    """Tile grids, their last tiles and fitted boxes of made-up image sizes."""
     w, h = F.col("p_size") * 40 + 200, F.col("p_partkey") % 17 * 90 + 300
-    return table(spark, sf_dir, "part").select("p_partkey", N.tile_grid(w, h).alias("g"), N.fit_box(w, h, 448, 448).alias("b")).select("p_partkey", "g.cols", "g.rows", "b.width", "b.height", "b.left", "b.top")
+    rows = table(spark, sf_dir, "part").select("p_partkey", N.tile_grid(w, h).alias("g"), N.fit_box(w, h, 448, 448).alias("b"))
+    rows = rows.withColumn("t", F.element_at(N.tile_boxes(F.col("g")), -1))
+    return rows.select("p_partkey", "g.cols", "g.rows", "b.width", "b.height", "b.left", "b.top", N.tile_count(F.col("g"), True).alias("tiles"), F.col("t.left").alias("last_left"), F.col("t.top").alias("last_top"))
 
 
-@query()
+@query(
+    """SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name) || ' isn''t 1000 2', ' '), lambda x: x NOT IN ('a', 'an', 'the', '')), ' ') AS normal FROM part"""
+)
 def vqa_normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The public VQA normalisation over part names with punctuation put in."""
     return table(spark, sf_dir, "part").select("p_partkey", N.evalai_process(F.concat(F.lit("The "), F.col("p_name"), F.lit(", isnt 1,000 - two?"))).alias("normal"))

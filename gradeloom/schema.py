@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.text import flat_letter_options
+
 TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
 OPTION = T.StructType([T.StructField("letter", TEXT), T.StructField("text", TEXT)])
 MESSAGE = T.StructType(
@@ -82,7 +84,7 @@ def scoring_input(samples: DataFrame, gt_field: str = "answer", pred: Column | N
     if gt_field == "answer":
         fall = blank(gt, is_list)
         gt, out_list = F.when(fall, F.col("reference_response")).otherwise(gt), F.when(fall, False).otherwise(is_list)
-    flat = F.filter(F.transform(F.array(*(F.lit(c) for c in "ABCDEFGH")), lambda k: F.struct(k.alias("letter"), F.element_at(first_message("extra"), k).alias("text"))), lambda o: o["text"].isNotNull() & (F.trim(o["text"]) != ""))
+    flat = flat_letter_options((k, F.element_at(first_message("extra"), k)) for k in "ABCDEFGH")
     return samples.select(
         "*", gt.alias("gt"), out_list.alias("gt_is_list"), (last_response() if pred is None else pred).alias("pred"), F.coalesce(first_message("question"), F.lit("")).alias("question"),
         first_message("options").alias("options"), first_message("choices").alias("choices"), flat.alias("flat_options"), first_message("prompt").alias("prompt"),

@@ -1,7 +1,9 @@
 """Protocols, stages, selection, conversion, sources and streams on small inputs."""
 
 import json
+import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from gradeloom.streaming import micro_batch
 
 OPTION = "array<struct<letter:string,text:string>>"
 SHEET = f"id int, gt array<string>, gt_is_list boolean, pred array<string>, question string, options {OPTION}, choices array<string>, flat_options {OPTION}, prompt string"
-ANIMALS = [("A", "teddy bear"), ("B", "rabbit"), ("C", "cat"), ("D", "dog")]
+THINGS = [("A", "clay pot"), ("B", "paper kite"), ("C", "lamp"), ("D", "spoon")]
 
 
 def sheet(spark, *rows):
@@ -26,7 +28,7 @@ def verdicts(df):
 
 def test_rule_stages(spark):
     rows = sheet(
-        spark, (["B"], ["b"], "", ANIMALS), (["A"], ["A teddy bear"], "", ANIMALS), (["C"], ["It shows a cat"], "", ANIMALS), (["24"], ["24%"], "", None), ([" "], ["x"], "", None), (["Paris", "paris france"], ["Final answer: Paris"], "", None),
+        spark, (["B"], ["b"], "", THINGS), (["A"], ["A clay pot"], "", THINGS), (["C"], ["It shows a lamp"], "", THINGS), (["24"], ["24%"], "", None), ([" "], ["x"], "", None), (["Paris", "paris france"], ["Final answer: Paris"], "", None),
         (["x"], None, "", None), (["E"], ["(E) it is"], "(A) a (B) b", None),
     )
     out = grading.grade(grading.with_context(rows), P.resolve_protocol({"score_pipeline": "exact-match,rule-match"}))
@@ -54,6 +56,93 @@ def test_model_stages_run_on_the_rest_only(spark):
     assert got[2][0] is None and got[2][2].startswith("llm_error")
 
 
+def counting_client(folder, reply):
+    """A client that leaves a line for each prompt it gets; reply(prompt, number of times asked before) is its answer."""
+
+    def make():
+        def client(texts):
+            out = []
+            for t in texts:
+                path = folder / f"{zlib.crc32(t.encode())}"
+                before = len(path.read_text()) if path.exists() else 0
+                with path.open("a") as f:
+                    f.write("x")
+                out.append(reply(t, before))
+            return out
+
+        return client
+
+    return make
+
+
+def asked(folder):
+    return sorted(len(p.read_text()) for p in folder.iterdir())
+
+
+def test_two_model_stages_ask_each_row_once(spark, tmp_path):
+    rows = sheet(
+        spark, (["B"], ["the one with wings"], "pick <image>", THINGS), (["B"], ["something odd"], "", THINGS), (["B"], ["b"], "", THINGS), (["A", "C"], ["both vessels"], "", THINGS), (["blue"], ["azure"], "", None), (["C"], ["It is option C"], "", THINGS),
+        (["A,C"], ["pot and light"], "", THINGS), (["B"], ["broken"], "", THINGS),
+    )
+
+    def reply(prompt, before):
+        if prompt.startswith("Which option"):
+            assert "<image>" not in prompt
+            return "I think it is B" if "wings" in prompt else "A, C" if "light" in prompt else "D" if before == 0 else "B"  # a model that changes its mind
+        return grading.Reply('{"is_correct": 1, "reason": "close"}', (("{", -0.1), (' "1"', -0.5), ("0", -3.0))) if "azure" in prompt else '{"is_correct": 0}' if before == 0 else '{"is_correct": 1}'
+
+    out = grading.grade(grading.with_context(rows), P.resolve_protocol({"score_pipeline": "exact-match,llm-match,llm-judge"}), counting_client(tmp_path, reply), pause=0.0, include_reason=True).drop("id", "x").withColumn("id", F.col("gt_shown"))
+    got = out.select("pred", "decided_by", "score", "judge_prob", "reason").collect()
+    assert out.count() == len(got) == 8 and set(asked(tmp_path)) == {1}
+    by = {r.pred[0]: r for r in got}
+    assert by["the one with wings"].decided_by == "llm-match" and by["It is option C"].decided_by == "llm-match" and by["b"].decided_by == "exact-match" and by["pot and light"].decided_by == "llm-match"
+    assert (by["something odd"].decided_by, by["something odd"].score) == ("llm-judge", 0.0)
+    assert by["azure"].score == 1.0 and abs(by["azure"].judge_prob - math.exp(-0.5)) < 1e-12 and by["azure"].reason == "close" and by["broken"].judge_prob is None
+    assert grading.summarize(out).first().judge_prob_mean == by["azure"].judge_prob
+
+
+class RateLimitError(Exception):
+    pass
+
+
+class Denied(Exception):
+    status_code = 401
+
+
+def test_failures_are_tried_again_or_told(spark, tmp_path):
+    rows = sheet(spark, (["x"], ["busy"], "", None), (["x"], ["denied"], "", None), (["x"], ["silent"], "", None), (["x"], ["dead"], "", None))
+
+    def reply(prompt, before):
+        if "busy" in prompt:
+            return RateLimitError("slow down") if before == 0 else '{"is_correct": 1}'
+        return Denied("no") if "denied" in prompt else " " if "silent" in prompt else RateLimitError("never")
+
+    out = grading.grade(grading.with_context(rows), P.resolve_protocol({"score_pipeline": "llm-judge"}), counting_client(tmp_path, reply), attempts=3, pause=0.0)
+    got = {r.pred[0]: (r.decided_by, r.reason) for r in out.collect()}
+    assert got == {"busy": ("llm-judge", None), "denied": (None, "llm_error: Denied: no"), "silent": (None, "llm_error: empty_response"), "dead": (None, "llm_error: RateLimitError: never")}
+    assert asked(tmp_path) == [1, 2, 3, 3]
+    assert grading.summarize(out).first().llm_errors == 3
+
+
+def test_replies_from_a_table(spark):
+    rows = grading.with_context(sheet(spark, (["x"], ["y"], "", None), (["x"], ["z"], "", None), (["x"], ["x"], "", None)))
+    replies = spark.createDataFrame([(0, '{"is_correct": true}'), (2, '{"is_correct": false}')], "id int, reply string")
+    out = grading.grade(rows, P.resolve_protocol({"score_pipeline": "exact-match,llm-judge"}), replies={"llm-judge": replies}, key="id")
+    assert verdicts(out) == [("llm-judge", 1, "ok"), (None, 0, "ok"), ("exact-match", 1, "ok")]
+
+
+def test_texts_as_they_are(spark):
+    wide = "\uff11\uff12"  # two full-width digits
+    fish = "\ufb01sh"  # with a ligature
+    rows = sheet(spark, ([wide], [wide], "", None), ([fish] * 3, [fish], "", None), (["x", "y", None], ["x"], "", None))
+    anls = grading.grade(grading.with_context(rows), P.resolve_protocol({"score_pipeline": "anls"}))
+    assert [r.score for r in anls.orderBy("id").collect()] == [1.0, 1.0, 1.0]
+    vqa = grading.grade(grading.with_context(rows), P.resolve_protocol({"score_pipeline": "vqa-accuracy"})).orderBy("id").collect()
+    assert [(r.status, round(r.score, 6)) for r in vqa] == [("invalid", 0.0), ("ok", round(2 / 3, 6)), ("ok", round(0.5 / 3, 6))]
+    loose = grading.grade(grading.with_context(rows), P.resolve_protocol({"score_pipeline": "exact-match", "string_match": "anls"}))
+    assert [r.is_correct for r in loose.orderBy("id").collect()] == [1, 1, 1]
+
+
 def test_empty_sheet(spark):
     out = grading.grade(grading.with_context(sheet(spark).limit(0) if False else spark.createDataFrame([], SHEET)), P.resolve_protocol())
     s = grading.summarize(out).first()
@@ -155,7 +244,7 @@ def test_audits(spark):
 
 
 def test_stream(spark, tmp_path):
-    sheet(spark, (["B"], ["b"], "", ANIMALS), (["B"], ["c"], "", ANIMALS)).write.parquet(str(tmp_path / "in"))
+    sheet(spark, (["B"], ["b"], "", THINGS), (["B"], ["c"], "", THINGS)).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SHEET).parquet(str(tmp_path / "in"))
     run = micro_batch.grade_stream(stream, P.resolve_protocol(), lambda df, n: df.select("id", "is_correct").write.mode("overwrite").parquet(str(tmp_path / f"out/{n}")), str(tmp_path / "cp"))
     run.awaitTermination(120)
