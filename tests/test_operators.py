@@ -237,6 +237,106 @@ def test_readers(spark, tmp_path):
     assert readers.choose_subset({"subsets": {"x": {}}}) == "x"
 
 
+def test_more_sources(spark, tmp_path):
+    for name, rows in (("a.tsv", ["one\t5", "two\t"]), ("b.tsv", ["three\t"])):
+        (tmp_path / name).write_text("question\teval-id\n" + "\n".join(rows) + "\n")
+    got = readers.read_tsv(spark, [str(tmp_path / "b.tsv"), str(tmp_path / "a.tsv")], ["question", "eval-id"])
+    assert {(r.question, r.eval_id) for r in got.collect()} == {("one", 5), ("two", 1), ("three", 2)}
+    (tmp_path / "own.json").write_text('[{"id": "a", "eval-id": 3}]')
+    with pytest.raises(Exception, match="eval-id already"):
+        readers.open_source(spark, f"local@{tmp_path}/own.json").collect()
+    (tmp_path / "two.json").write_text('[{"id": "a"}, {"id": "b"}]')
+    assert [(r.eval_id, json.loads(r.sample.toJson())["id"]) for r in readers.open_source(spark, f"local@{tmp_path}/two.json").orderBy("eval_id").collect()] == [(0, "a"), (1, "b")]
+    (tmp_path / "x.jsonl").write_text('{"eval-id": 7}\n\n{"id": 1}\n')
+    assert sorted((r.eval_id or 0) for r in readers.open_source(spark, f"lines@{tmp_path}/x.jsonl").collect()) == [0, 7]
+    (tmp_path / "x.txt").write_text("{'a': None, 'b': (1, 2)}\n{\"a\": \"t\", \"b\": [3]}\nnot one\n{'a': True}\n")
+    got = readers.read_literal_lines(spark, str(tmp_path / "x.txt"), "a string, b array<int>").collect()
+    assert [(r.a, r.b) for r in got] == [(None, [1, 2]), ("t", [3]), (None, None), ("true", None)]
+    assert readers.fetch(spark, str(tmp_path / "x.txt"), str(tmp_path / "copy.txt")) and not readers.fetch(spark, str(tmp_path / "own.json"), str(tmp_path / "copy.txt"))
+    assert (tmp_path / "copy.txt").read_text() == (tmp_path / "x.txt").read_text()
+    (tmp_path / "B.tsv").write_text("question\tA\nq\tx\n")
+    assert readers.open_source(spark, "named@B", listed=["B"], folder=str(tmp_path), columns=["question", "A"]).first().eval_id == 0
+    with pytest.raises(ValueError):
+        readers.named_benchmark("C", ["B"], "/x")
+
+    def load(name):
+        if name == "bad":
+            raise OSError("gone")
+        return spark.createDataFrame([(name,)], "v string") if name == "x" else spark.createDataFrame([(1,)], "w int")
+
+    rows, errors = readers.per_subject(["x", "bad", "y"], load)
+    assert [(r.subject, r.subject_no, r.v, r.w) for r in rows.orderBy("subject_no").collect()] == [("x", 0, "x", None), ("y", 2, None, 1)] and errors == {"bad": "OSError: gone"}
+    for split in ("train", "test"):
+        spark.range(2).write.parquet(f"{tmp_path}/art/default/{split}")
+    assert readers.splits_of(spark, f"{tmp_path}/art", "main") == ["test", "train"]
+    assert readers.open_source(spark, f"artifact@{tmp_path}/art", split="test", manifest={"subsets": {"main": {}}}).first().media == []
+    told = {name: (kind, kinds) for name, kind, kinds, _ in readers.inspect(spark.createDataFrame([('{"a": 1}', 2), ("plain", None)], "t string, n int"))}
+    assert told["n"] == ("int", ["int"]) and "string" in told["t"][1] and len(told["t"][1]) == 2
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(10, "x"), (9, None), (100, 'q"')], "id int, t string")
+    readers.write_json_array(rows, f"{tmp_path}/result.json", "id")
+    assert json.loads((tmp_path / "result.json").read_text()) == [{"id": 9}, {"id": 10, "t": "x"}, {"id": 100, "t": 'q"'}]
+    readers.write_json_array(rows, f"{tmp_path}/data.json", "id", as_text=True)
+    assert [r["id"] for r in json.loads((tmp_path / "data.json").read_text())] == [10, 100, 9]
+    readers.write_json_array(rows.limit(0), f"{tmp_path}/none.json", "id")
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    batches = select.batches(select.with_position(spark.range(10), ["id"]), 4)
+    readers.write_batches(batches.where("batch < 2").withColumn("v", F.lit(1)), f"{tmp_path}/b")
+    out = readers.write_batches(batches.withColumn("v", F.lit(2)), f"{tmp_path}/b")
+    assert {(r.id, r.v) for r in out.collect()} == {(i, 1 if i < 8 else 2) for i in range(10)}
+    readers.write_scores(rows, rows.limit(1), {"a": 1}, f"{tmp_path}/scores")
+    config = json.loads(spark.read.text(f"{tmp_path}/scores/config").first().value)
+    assert config["a"] == 1 and config["provenance"]["spark"]
+
+
+def test_manifests(spark, tmp_path):
+    block = {"modalities": ["text"], "media_min": 0, "media_max": 2, "source": {"format": "tsv", "url": {"test": "u"}}, "mapping": {"question": {"from": "q"}, "extra": {"cat": {"from": "c"}}}}
+    made = convert.build_manifest("set", "2024-01-02", "main", block)
+    assert made["subsets"]["main"]["language"] == ["en"] and made["subsets"]["main"]["mapping_from_source"]["media"] == {"min_items": 0, "max_items": 2}
+    assert convert.mapping_of_manifest(made["subsets"]["main"]["mapping_from_source"]) == {"question": "q", "cat": "c"}
+    seed = json.loads(json.dumps(made))
+    seed["release_date"] = "2025-01-01"
+    seed["subsets"]["main"] |= {"task_type": "open_qa", "note": "kept"}
+    seed["subsets"]["main"]["mapping_from_source"]["source"] |= {"links": {"dev": "v"}, "repo": "r"}
+    again = convert.build_manifest("other", "2024-06-01", "main", {**block, "media_max": 3, "source": {"url": {"train": "w"}}, "extra": {"level": "lv"}}, seed)
+    sub = again["subsets"]["main"]
+    assert again["name"] == "set" and again["release_date"] == "2025-01-01" and sub["task_type"] == "open_qa" and sub["note"] == "kept"
+    assert sub["mapping_from_source"]["source"] == {"format": "tsv", "url": {"dev": "v", "test": "u", "train": "w"}} and sub["mapping_from_source"]["extra"] == {"cat": {"from": "c"}, "level": {"from": "lv"}}
+    with pytest.raises(ValueError):
+        convert.build_manifest("x", "2024-01-01", "absent", block, seed)
+    readers.write_manifest(spark, again, f"{tmp_path}/metadata.json")
+    assert json.loads((tmp_path / "metadata.json").read_text()) == again
+
+
+def test_runs_and_options():
+    done, failed = P.each_file(["a", "b"], lambda f: 1 // (f == "a"))
+    assert done == {"a": 1} and failed["b"].startswith("ZeroDivisionError")
+    assert set(P.provenance()) == {"git_commit", "python", "spark"}
+    given = P.generation_options({"top_p": 0.5, "max_new_tokens": None, "odd": 1}, {"max_new_tokens": 9})
+    assert given == {"max_new_tokens": 9, "top_p": 0.5}
+    assert P.fit_options(given, lambda max_completion_tokens: 0) == ({"max_completion_tokens": 9}, ["top_p"])
+    assert P.fit_options(given, lambda **more: 0)[0] == {"max_completion_tokens": 9, "top_p": 0.5}
+
+
+def test_saved_rows_and_ids(spark):
+    kind = "id int, media array<binary>, messages array<struct<role:string,media:array<string>,response:string>>"
+    row = convert.scrub_media(spark.createDataFrame([(1, [b"x", None], [("user", ["m"], None)])], kind)).first()
+    assert row.media == ["Image Object", None] and row.messages[0].asDict() == {"role": "user", "response": None}
+    ids = convert.unique_ids(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "id string, n int"), ["n"])
+    assert sorted(((r.id, r.n) for r in ids.collect()), key=str) == sorted([("a_q1", 1), ("a_q2", 2), ("b", 3), (None, 4), (None, 5)], key=str)
+    with pytest.raises(ValueError):
+        select.random_positions(select.MAX_DRAW + 1, None, 1)
+    merged = convert.merge_subsets({("x", "test"): spark.range(1), ("y", "test"): spark.range(2)})
+    assert {(r.split, r["count"]) for r in merged.groupBy("split").count().collect()} == {("x_test", 1), ("y_test", 2)}
+    with pytest.raises(Exception, match="no series for odd"):
+        resume.series_of(spark.createDataFrame([("odd",)], "model string"), spark.createDataFrame([("s", ["m"])], "series string, models array<string>"), strict=True).collect()
+    text = spark.createDataFrame([("k", 1, "<image> <image>", ["m"])], "k string, n int, t string, media array<string>")
+    with pytest.raises(Exception, match="too few media for k"):
+        prompts.message_media(text, "k", "n", "t", "media", strict=True).collect()
+
+
 def test_audits(spark):
     rows = spark.createDataFrame([(1, "see <image>", ["a"]), (2, "<image> <image>", ["a"]), (3, "<image>", [])], "id int, q string, media array<string>")
     found = {(r.id, r.issue) for r in audit.placeholder_issues(rows, "id", F.col("q"), F.col("media")).collect()}
