@@ -101,15 +101,13 @@ def test_two_model_stages_ask_each_row_once(spark, tmp_path):
     assert grading.summarize(out).first().judge_prob_mean == by["azure"].judge_prob
 
 
-class RateLimitError(Exception):
-    pass
-
-
-class Denied(Exception):
-    status_code = 401
+def test_failures_are_tried_again_or_told(spark, tmp_path):
+    class RateLimitError(Exception):
+        pass
 
+    class Denied(Exception):
+        status_code = 401
 
-def test_failures_are_tried_again_or_told(spark, tmp_path):
     rows = sheet(spark, (["x"], ["busy"], "", None), (["x"], ["denied"], "", None), (["x"], ["silent"], "", None), (["x"], ["dead"], "", None))
 
     def reply(prompt, before):
