@@ -176,7 +176,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
     notice that no single block holds is found over several: a window of at most twice the template's words, outside the blocks
     that match alone; it is listed from the start of its first block to the end of its last, with the share of the window.
     license_score is 1 with a phrase, else the greatest share, else 0. A null text counts as empty: no words, empty labels.
-    Repeated rows are scanned each; an empty table gives an empty one; columns of the new names are replaced.
+    Ties of share list every template that has it. Repeated rows are scanned each; texts of any length are read whole, in blocks of a
+    few MB; an empty table gives an empty one; columns of the new names are replaced.
     """
     small_batches(docs.sparkSession)
     cut = np.zeros(256, bool)
