@@ -537,6 +537,57 @@ def test_grammar_against_plain_rules():
         assert clauses[i] == n and math.isclose(total[i], whole, abs_tol=1e-9) and math.isclose(top[i], most, abs_tol=1e-9), t
 
 
+def test_held_out_rows(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", toxicity.held_out("doc_id").alias("h"))
+    for r in df.collect():
+        assert r.h == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0)
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(5, a, None, None, None), (5, b, None, None, None), (7, a, None, None, None), (9, b, None, None, None), (3, b, None, None, None), (8, c, None, None, None), (None, a, None, None, None)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 3, False), (8, 8, True), (None, None, True)}
+
+
+def test_classifier_keeps_clashing_columns(spark):
+    docs = table(spark, documents()[:20]).withColumn("quality_score", F.lit("clash")).withColumn("y", F.lit(1)).withColumn("h", F.lit(2))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(docs, labels)
+    out = quality_classifier.score_quality(docs, model)
+    assert out.columns[-1] == "quality_score" and {"y", "h"} <= set(out.columns) and out.count() == 20
+    assert quality_classifier.score_quality(empty(spark), model).count() == 0
+    few = quality_classifier.train(docs, labels, max_features=10)  # less than one document has: that one alone
+    assert quality_classifier.score_quality(docs, few).count() == 20
+
+
+def pipeline_tables(spark, folder, rows, labels):
+    table(spark, rows).withColumn("kept", F.lit("own")).withColumn("toxicity", F.lit("own")).withColumn("id", F.lit("own")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = prose(50, 60)
+    rows = [*documents(), (200, text, "en", "s", 1), (200, text, "en", "s", 1), (200, prose(51, 60), "de", "s", 1), (None, text, "fr", None, None), (None, None, None, None, None)]
+    pipeline_tables(spark, tmp_path, rows, [(i, 1, 0) for i in range(60)] + [(None, 1, 1)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.Scratch(spark, "t").keep(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == before.columns and docs.where("kept <> 'own' or toxicity <> 'own' or id <> 'own'").count() == 0, name
+        if name == "MinHash near-dedup":
+            assert docs.where("doc_id = 200").count() == 2 and docs.where("doc_id is null").count() == before.where("doc_id is null").count()
+
+
 def test_spread_over_the_driver_tables(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
