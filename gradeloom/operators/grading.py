@@ -449,3 +449,30 @@ def judged_accuracy(rows: DataFrame, pred: str = "pred", score: str = "score") -
     low = F.lower(pred)
     yes, no = F.contains(low, F.lit("yes")), ~F.contains(low, F.lit("yes")) & F.contains(low, F.lit("no"))
     return rows.agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no"), F.coalesce(F.try_divide(F.count_if(yes), F.count_if(yes) + F.count_if(no)), F.lit(0.0)).alias("accuracy"), F.avg(F.col(score).cast("int")).alias("average_score"))
+
+
+# Models that answer.
+
+
+class TooManyFailures(RuntimeError):
+    """More rows failed in one pass than its budget allows."""
+
+
+def respond(rows: DataFrame, prompt: str, make_client: Callable[[], Client], passes: int = 1, budget: int | None = None, **options) -> DataFrame:
+    """`rows` with pred (array<string>, one response; null where none came) and response_error.
+
+    Rows without a response are asked again in further passes, each of which may leave at most `budget` failures, counted over all
+    rows of the pass; more end the run. A null prompt is not asked for. Options are those of ask().
+    """
+    rows = rows.withColumn("pred", F.lit(None).cast("array<string>")).withColumn("response_error", F.lit(None).cast("string"))
+    for _ in range(max(1, passes)):
+        need = F.col("pred").isNull() & F.col(prompt).isNotNull()
+        told = ask(rows, F.col(prompt), need, make_client, **options)
+        rows = told.withColumn("pred", F.coalesce("pred", F.when(F.col("reply").isNotNull(), F.array("reply")))).withColumn("response_error", F.when(F.col("pred").isNull(), F.coalesce("reply_error", "response_error")))
+        rows = rows.drop("reply", "reply_error", "reply_tokens")
+        failed = rows.where(need).count()
+        if budget is not None and failed > budget:
+            raise TooManyFailures(f"{failed} rows failed, {budget} may")
+        if not failed:
+            break
+    return rows

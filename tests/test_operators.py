@@ -122,6 +122,19 @@ def test_failures_are_tried_again_or_told(spark, tmp_path):
     assert grading.summarize(out).first().llm_errors == 3
 
 
+def test_responses_in_passes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, prompt string")
+
+    def reply(prompt, before):
+        return "" if prompt == "b" and before == 0 else f"re {prompt}"
+
+    client = counting_client(tmp_path, reply)
+    with pytest.raises(grading.TooManyFailures):
+        grading.respond(rows, "prompt", client, budget=0, attempts=1)
+    out = grading.respond(rows, "prompt", client, passes=3, budget=1, attempts=1).orderBy("id").collect()
+    assert [(r.pred, r.response_error) for r in out] == [(["re a"], None), (["re b"], None), (None, None)]
+
+
 def test_replies_from_a_table(spark):
     rows = grading.with_context(sheet(spark, (["x"], ["y"], "", None), (["x"], ["z"], "", None), (["x"], ["x"], "", None)))
     replies = spark.createDataFrame([(0, '{"is_correct": true}'), (2, '{"is_correct": false}')], "id int, reply string")
