@@ -178,7 +178,9 @@ TYPES = (("yes", "yes_no"), ("B", "mcq"), ("A, C", "mcq"), ("3.5%", "numeric"),
 def infer_question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question types by the shape of the ground truth."""
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", pick(F.col("o_orderkey"), *(g for g, _ in TYPES)).alias("gt"))
-    typed = T.infer_question_type("auto", F.lit(None).cast("string"), F.col("gt"), F.lit(False), False)
+    rows = spread(rows).withColumn("plain", T.normalize_exact(F.col("gt"), False)).withColumn("norm", T.open_of_plain(F.col("plain")))
+    rows = rows.withColumns({"bare": T.gt_letters(F.col("gt"), F.lit(False)), "number": T.parse_number_text(F.col("norm"))})
+    typed = T.question_type_of("auto", F.lit(None).cast("string"), F.col("gt"), F.col("norm"), F.col("bare"), F.col("number"))
     return rows.withColumn("question_type", typed).groupBy("o_orderstatus", "question_type").agg(F.count("*").alias("n"))
 
 
