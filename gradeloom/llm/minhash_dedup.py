@@ -9,7 +9,8 @@ that meets is compared on its full shingle sets, or stands in one component alre
 No group's pairs leave a task. Under each key, documents are compared with the next two by size first, which settles keys of up
 to three documents and joins most of what is linked at all. What then lies in different components under one key is compared
 in blocks of bounded bytes: documents outside the key's largest component visit the blocks of that component, and the blocks
-of each other. Only links that join components leave a block.
+of each other. Blocks of a large component are bands of distance from a pivot, and the triangle inequality of Jaccard distance
+tells which bands a visitor can be linked with. Only links that join components leave a block.
 """
 
 from __future__ import annotations
@@ -194,9 +195,10 @@ def _dealt_sets(texts: DataFrame, calls: DataFrame, how: Signature) -> DataFrame
                 data, h = s.tobytes(), int(X.mix(np.array([one], np.int64).view(U))[0])
                 for call in asked:
                     own = h % call["blocks"]
-                    for k in range(call["blocks"]) if call["mode"] else (own,):
-                        cell = X.mix(np.array([call["base"]], np.int64).view(U) + U(k) * U(0x9E3779B97F4A7C15))
-                        out.append((int(cell.view(np.int64)[0]), call["mode"] if k == own else 2, one, call["comp"], data))
+                    at = np.arange(call["blocks"], dtype=U) if call["mode"] else np.array([own], U)
+                    cells = X.mix(np.array([call["base"]], np.int64).view(U) + at * U(0x9E3779B97F4A7C15)).view(np.int64)
+                    for k, cell in zip(at.tolist(), cells.tolist(), strict=True):
+                        out.append((cell, call["mode"] if k == own else 2, one, call["comp"], data))
                         held += len(data)
                         if held > 4 << 20:
                             yield table(out)
@@ -288,12 +290,66 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, how: Signat
     return rows.repartition("cell").sortWithinPartitions("cell", "kind", "a", "b").mapInArrow(work, "a long, b long")
 
 
-def _visits(crowd: DataFrame, member: DataFrame, sizes: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+def _from_pivots(rows: DataFrame) -> DataFrame:
+    """(comp, id, d): the Jaccard distance of each document at home in a cell from the pivot that visits it."""
+
+    def work(batches):
+        now, block = None, []
+        for batch in batches:
+            found: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("cell", "kind", "id", "comp")]
+            for i, (at, kind, one, comp) in enumerate(zip(*columns, strict=True)):
+                if at != now:
+                    now, block = at, []
+                s = np.frombuffer(batch.column("s")[i].as_py(), U)
+                if kind < 2:
+                    block.append((one, s))
+                if kind:
+                    for other, t in block:
+                        common = _common(s, t)
+                        found.append((comp, other, 1 - common / (len(s) + len(t) - common)))
+            if found:
+                comp, one, d = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(one, pa.int64()), pa.array(d, pa.float64())], names=["comp", "id", "d"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind", "id").mapInArrow(work, "comp long, id long, d double")
+
+
+def _banded(inside: DataFrame, guests: DataFrame, texts: DataFrame, how: Signature, percent: int, scratch: Scratch, block_bytes: int, width: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Calls (id, base, blocks, mode, comp) of documents at home and of visitors, for components that need more than one block.
+
+    One document of a component is its pivot. As Jaccard distance is a metric, two linked documents' distances from the pivot
+    differ by at most that of a link; so the component's documents are put into bands of that distance, and a visitor calls
+    only on the bands in which a linked one can be.
+    """
+    both = inside.select(F.col("comp").alias("main"), "id", "size").union(guests.select("main", "id", "size")).distinct()
+    blocks = both.groupBy("main").agg(F.ceil(F.sum("size") / F.lit(float(block_bytes))).cast("int").alias("blocks"))
+    base = F.xxhash64(F.lit(3), "main")
+    homes = both.join(blocks, "main").select("id", base.alias("base"), "blocks", F.lit(0).alias("mode"), F.col("main").alias("comp"))
+    pivots = inside.groupBy(F.col("comp").alias("main")).agg(F.min("id").alias("id")).join(blocks, "main").select("id", base.alias("base"), "blocks", F.lit(2).alias("mode"), F.col("main").alias("comp"))
+    asked = pivots.select("id", "base").withColumn("p", F.lit(True))
+    homes = homes.join(asked, ["id", "base"], "left").withColumn("mode", F.when(F.col("p"), 1).otherwise(F.col("mode"))).drop("p")  # the pivot is at home once, and visits all blocks
+    calls = homes.groupBy("id").agg(F.collect_list(F.struct("base", "blocks", "mode", "comp")).cast(CALL).alias("calls"))
+    near = _from_pivots(_dealt_sets(texts, scratch.keep(calls, "pivot-calls"), how))
+    near = scratch.keep(near.select("id", F.col("comp").alias("main"), "d"), "pivots")
+
+    reach, w = 1 - percent / 100 + 1e-9, F.lit(width)
+    band = F.floor(F.col("d") / w).cast("int")
+    placed = inside.withColumnRenamed("comp", "main").join(near, ["id", "main"]).select("main", "id", "size", band.alias("band")).distinct()
+    bands = placed.groupBy("main", "band").agg(F.ceil(F.sum("size") / F.lit(float(block_bytes))).cast("int").alias("blocks"))
+    at = F.xxhash64(F.lit(1), "main", "band").alias("base")
+    here = placed.join(bands, ["main", "band"]).select("id", at, "blocks", F.lit(0).alias("mode"), F.col("main").alias("comp"))
+    seen = guests.join(near, ["id", "main"]).select("id", "main", "comp", F.explode(F.sequence(F.floor((F.col("d") - reach) / w).cast("int"), F.floor((F.col("d") + reach) / w).cast("int"))).alias("band"))
+    calls = seen.distinct().join(bands, ["main", "band"]).select("id", at, "blocks", F.lit(2).alias("mode"), "comp")
+    return here, calls
+
+
+def _visits(crowd: DataFrame, member: DataFrame, sizes: DataFrame, texts: DataFrame, how: Signature, percent: int, scratch: Scratch, block_bytes: int) -> DataFrame:
     """(id, calls): the cells in which each document of `crowd` is at home or visits, so that all that meets under a key in different
-    components meets in a cell.
+    components, and may be linked, meets in a cell.
 
     Under a key, the documents outside its largest component visit the blocks of that component's documents, once for all keys
-    that say so; and if they are of several components themselves, the blocks of each other, once for all keys with the same
+    that say so, and of a component of several blocks only those that the distance from its pivot does not rule out; and if they are of several components themselves, the blocks of each other, once for all keys with the same
     documents. A block holds about `block_bytes`.
     """
     own = crowd.groupBy("rep").agg(F.collect_list("key").alias("keys")).withColumnRenamed("rep", "id")  # at most one key a place of the signature
@@ -304,17 +360,21 @@ def _visits(crowd: DataFrame, member: DataFrame, sizes: DataFrame, scratch: Scra
     out = scratch.keep(rows.join(main, "key").where("comp <> main"), "outside")
 
     bound = F.lit(float(block_bytes))
-    guests = out.select("id", "comp", "main").distinct()
+    guests = out.select("id", "comp", "main", "size").distinct()
     inside = own.join(guests.select(F.col("main").alias("comp")).distinct(), "comp", "left_semi").select("id", "comp", "size")
-    blocks = inside.groupBy("comp").agg(F.ceil(F.sum("size") / bound).cast("int").alias("blocks"))
-    homes = inside.join(blocks, "comp").select("id", F.xxhash64(F.lit(1), "comp").alias("base"), "blocks", F.lit(0).alias("mode"), "comp")
-    guests = guests.join(blocks.withColumnRenamed("comp", "main"), "main").select("id", F.xxhash64(F.lit(1), "main").alias("base"), "blocks", F.lit(2).alias("mode"), "comp")
+    blocks = scratch.keep(inside.groupBy("comp").agg(F.ceil(F.sum("size") / bound).cast("int").alias("blocks")), "blocks")
+    small, large = (blocks.where(c) for c in ("blocks = 1", "blocks > 1"))
+    homes = inside.join(small, "comp").select("id", F.xxhash64(F.lit(1), "comp").alias("base"), "blocks", F.lit(0).alias("mode"), "comp")
+    calls = guests.join(small.withColumnRenamed("comp", "main"), "main").select("id", F.xxhash64(F.lit(1), "main").alias("base"), "blocks", F.lit(2).alias("mode"), "comp").union(homes)
+    if not large.isEmpty():
+        for more in _banded(inside.join(large, "comp", "left_semi"), guests.join(large.select(F.col("comp").alias("main")), "main", "left_semi"), texts, how, percent, scratch, block_bytes):
+            calls = calls.union(more)
 
     several = out.where("comps > 2").groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.ceil(F.sum("size") / bound).cast("int").alias("blocks"))
     several = several.groupBy("x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks"))  # one key of those with the same documents
     mutual = out.join(several.select("key", "blocks"), "key").select("id", F.xxhash64(F.lit(2), "key").alias("base"), "blocks", F.lit(1).alias("mode"), "comp")
-    calls = homes.union(guests).union(mutual)
-    return scratch.keep(calls.groupBy("id").agg(F.collect_list(F.struct("base", "blocks", "mode", "comp")).cast(CALL).alias("calls")), "visits")  # two a key at most
+    calls = calls.union(mutual)
+    return scratch.keep(calls.groupBy("id").agg(F.collect_list(F.struct("base", "blocks", "mode", "comp")).cast(CALL).alias("calls")), "visits")  # two a key, and some bands, at most
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
@@ -410,8 +470,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = connected_components(links.union(several), scratch, "first")
 
     crowd = met.where("key is not null").select("key", F.col("a").alias("rep"))
-    visits = _visits(crowd, member, sizes, scratch, block_bytes)
-    for name in ("met", "own", "outside"):
+    visits = _visits(crowd, member, sizes, texts, how, percent, scratch, block_bytes)
+    for name in ("met", "own", "outside", "blocks", "pivot-calls", "pivots"):
         scratch.drop(name)
     more = scratch.keep(_joined(_dealt_sets(texts, visits, how), percent), "more")
     if not more.isEmpty():
