@@ -241,9 +241,14 @@ def contiguous_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.contiguous_chunk(placed, 7, 6, table(spark, sf_dir, "orders").count())
 
 
-@query(f"SELECT o_orderkey, o_custkey, position, ordinal FROM {POSITIONS} JOIN (SELECT unnest({select.random_positions(1500, 50, 11)}) AS position, unnest(range(50)) AS ordinal) USING (position)")
+def drawn_sql(totals: tuple[int, ...], n: int, seed: int) -> str:
+    """(total, position, ordinal) of a seeded draw of n from each of some totals, the row counts of the tables at hand."""
+    return "(VALUES " + ", ".join(f"({t}, {p}, {i})" for t in totals for i, p in enumerate(select.random_positions(t, n, seed))) + ") d(total, position, ordinal)"
+
+
+@query(f"SELECT o_orderkey, o_custkey, position, ordinal FROM {POSITIONS} JOIN {drawn_sql((1500, 15000, 150000), 50, 11)} USING (total, position)")
 def sample_random_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty of all positions, as a seeded generator draws them. The SQL holds the draw from 1,500 positions, the rows of sf0.001."""
+    """Fifty of all positions, as a seeded generator draws them. The SQL holds the draws for the three sizes of the driver's tables."""
     return select.random_rows(_placed(spark, sf_dir), 50, 11, table(spark, sf_dir, "orders").count()).select("o_orderkey", "o_custkey", "position", "ordinal")
 
 
