@@ -96,4 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        scratch.drop(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

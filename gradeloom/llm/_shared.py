@@ -38,7 +38,6 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
     def drop_all_but(self, name: str) -> None:
         """Delete every table but one."""
         base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
