@@ -64,14 +64,14 @@ _MADE: dict = {}
 
 
 def made_once(key: tuple, make):
-    """make(), kept under `key` for as long as the JVM that holds its columns: a long expression is some hundred calls to the JVM."""
+    """make(), kept under `key` for as long as the Spark context that its columns belong to: a long expression is some hundred calls to
+    the JVM."""
     context = SparkContext._active_spark_context
     if context is None:
         return make()
-    gateway = context._gateway
-    if _MADE.get("gateway") is not gateway:
+    if _MADE.get("context") is not context:
         _MADE.clear()
-        _MADE["gateway"] = gateway
+        _MADE["context"] = context
     if key not in _MADE:
         _MADE[key] = make()
     return _MADE[key]

@@ -197,7 +197,7 @@ SHEET = (
     f"""WITH s AS (SELECT {pick_sql('o_orderkey', *(t for _, _, t, _ in SHEET))} AS question_type, {pick_sql('o_orderkey', *(d for *_, d in SHEET))} AS d FROM orders),
     t AS (SELECT question_type, CASE WHEN d IN ('', 'invalid') THEN 'undecided' ELSE d END AS stage, d IN ('exact-match', 'rule-match') AS ok, d = 'invalid' AS bad FROM s)
     SELECT CASE WHEN grouping(stage) = 0 THEN 'stage' WHEN grouping(question_type) = 0 THEN 'type' ELSE 'all' END AS part, stage, question_type, count(*) AS total, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE ok) AS correct,
-    round(count(*) FILTER (WHERE ok) / count(*), 6) AS accuracy, count(*) FILTER (WHERE bad) AS invalid FROM t GROUP BY GROUPING SETS ((stage), (question_type), ())"""
+    round(count(*) FILTER (WHERE ok) / count(*), 6) AS accuracy, round(coalesce(count(*) FILTER (WHERE ok) / nullif(count(*) FILTER (WHERE NOT bad), 0), 0), 6) AS accuracy_valid, count(*) FILTER (WHERE bad) AS invalid FROM t GROUP BY GROUPING SETS ((stage), (question_type), ())"""
 )
 def grade_mixed_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All question types through exact-match and rule-match, rolled up by stage, by type and in all, in one pass."""
@@ -207,7 +207,7 @@ def grade_mixed_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.cast("array<struct<letter:string,text:string>>").alias("options"), none.cast("array<string>").alias("choices"), none.cast("array<struct<letter:string,text:string>>").alias("flat_options"), none.cast("string").alias("prompt"),
     )
     graded = grading.grade(grading.with_context(rows, unicode=False), resolve_protocol({"score_pipeline": "exact-match,rule-match"}))
-    return grading.report(graded).select("part", "stage", "question_type", "total", "valid", "correct", F.round("accuracy", 6).alias("accuracy"), "invalid")
+    return grading.report(graded).select("part", "stage", "question_type", "total", "valid", "correct", F.round("accuracy", 6).alias("accuracy"), F.round("accuracy_valid", 6).alias("accuracy_valid"), "invalid")
 
 
 # Selection.
